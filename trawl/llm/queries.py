@@ -1,10 +1,18 @@
 """The thin ``opN_<name>`` queries: production parameters over whole tables."""
 
 from trawl.llm.bpe import op9_query
+from trawl.llm.media import op7_query
+from trawl.llm.mixing import OP2_SQL, op2_query
+from trawl.llm.sharding import op1_query
 
 QUERIES = {
+    "op1_interleave": op1_query,
+    "op2_mix_ipf": op2_query,
+    "op7_media_columns": op7_query,
     "op9_bpe_codec": op9_query,
 }
 
-#: Hashes that DuckDB lacks (CRC-32, SHA-256 of arrays of ids, XXH64) and trained models keep the ten out of SQL.
-ORACLE_SQL: dict[str, str] = {}
+#: Hashes that DuckDB lacks (CRC-32, XXH64) and trained models keep the others out of SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_ipf": OP2_SQL,
+}
