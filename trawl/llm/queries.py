@@ -3,11 +3,13 @@
 from trawl.llm.bpe import op9_query
 from trawl.llm.media import op7_query
 from trawl.llm.mixing import OP2_SQL, op2_query
+from trawl.llm.pii import op4_query
 from trawl.llm.sharding import op1_query
 
 QUERIES = {
     "op1_interleave": op1_query,
     "op2_mix_ipf": op2_query,
+    "op4_pii_crf": op4_query,
     "op7_media_columns": op7_query,
     "op9_bpe_codec": op9_query,
 }
