@@ -5,6 +5,7 @@ from trawl.llm.media import op7_query
 from trawl.llm.mixing import OP2_SQL, op2_query
 from trawl.llm.pii import op4_query
 from trawl.llm.sharding import op1_query
+from trawl.llm.toxicity import op10_query
 
 QUERIES = {
     "op1_interleave": op1_query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_pii_crf": op4_query,
     "op7_media_columns": op7_query,
     "op9_bpe_codec": op9_query,
+    "op10_toxicity_grammar": op10_query,
 }
 
 #: Hashes that DuckDB lacks (CRC-32, XXH64) and trained models keep the others out of SQL.
