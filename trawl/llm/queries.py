@@ -1,6 +1,7 @@
 """The thin ``opN_<name>`` queries: production parameters over whole tables."""
 
 from trawl.llm.bpe import op9_query
+from trawl.llm.chat import op6_query
 from trawl.llm.media import op7_query
 from trawl.llm.mixing import OP2_SQL, op2_query
 from trawl.llm.pii import op4_query
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_interleave": op1_query,
     "op2_mix_ipf": op2_query,
     "op4_pii_crf": op4_query,
+    "op6_chat_tree": op6_query,
     "op7_media_columns": op7_query,
     "op9_bpe_codec": op9_query,
     "op10_toxicity_grammar": op10_query,
