@@ -6,6 +6,7 @@ from trawl.llm.media import op7_query
 from trawl.llm.mixing import OP2_SQL, op2_query
 from trawl.llm.pii import op4_query
 from trawl.llm.sharding import op1_query
+from trawl.llm.simjoin import op8_query
 from trawl.llm.toxicity import op10_query
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_pii_crf": op4_query,
     "op6_chat_tree": op6_query,
     "op7_media_columns": op7_query,
+    "op8_ngram_jaccard": op8_query,
     "op9_bpe_codec": op9_query,
     "op10_toxicity_grammar": op10_query,
 }
