@@ -123,3 +123,11 @@ def chunks(sizes, most: int = 4 << 20):
 def encoded(values) -> list[bytes]:
     """UTF-8 of each text; null gives the empty text.  Lone surrogates cannot occur in a Spark string."""
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in values]
+
+
+def words_in_slices(texts: list[bytes], most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`words_of` in slices that bound its working memory (some 50 bytes a byte of text)."""
+    parts = [words_of(texts[a:b]) for a, b in chunks(map(len, texts), most)]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([w for w, _ in parts]), np.concatenate([c for _, c in parts])

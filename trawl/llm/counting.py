@@ -25,6 +25,7 @@ from trawl.llm.common import chunks, written
 
 BLOCK_BYTES = 16 << 20
 BUCKET_KEYS = 3_000_000
+SUM, COUNTED = -1, -2
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -95,8 +96,8 @@ def totals(packed: DataFrame, keys_of: Callable, kinds: dict[int, int], keys_hin
     """(block, kind, bucket, n, answer), a written table: the sums over all blocks of each block's counts.
 
     ``keys_of(texts, flags)`` gives {kind: (sorted distinct keys, counts)}; ``kinds`` gives each kind's key bits.
-    ``keys_hint``: about how many keys there are over all blocks.  Rows of block -1 hold, instead of an answer, the
-    bucket's sum of counts (n) and its number of keys with a count (as an eight-byte answer)."""
+    ``keys_hint``: about how many keys there are over all blocks.  Rows of the blocks SUM and COUNTED hold, instead of
+    an answer, the bucket's sum of counts and its number of keys with a count, as n."""
     buckets = max(1, -(-keys_hint // BUCKET_KEYS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +122,7 @@ def totals(packed: DataFrame, keys_of: Callable, kinds: dict[int, int], keys_hin
         ends = np.cumsum(sizes)
         kind, bucket = int(df["kind"].iloc[0]), int(df["bucket"].iloc[0])
         rows = [(int(b), kind, bucket, n, pack_counts(given[e - n : e])) for b, n, e in zip(df["block"], sizes, ends, strict=True)]
-        rows.append((-1, kind, bucket, int(sums.sum()), int((sums > 0).sum()).to_bytes(8, "little")))
+        rows += [(SUM, kind, bucket, int(sums.sum()), None), (COUNTED, kind, bucket, int((sums > 0).sum()), None)]
         return pd.DataFrame(rows, columns=["block", "kind", "bucket", "n", "answer"])
 
     asked = packed.select("block", "ids", "flags", "data").mapInArrow(ask, "block long, kind int, bucket int, keys binary, counts binary")

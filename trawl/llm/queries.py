@@ -2,6 +2,7 @@
 
 from trawl.llm.bpe import op9_query
 from trawl.llm.chat import op6_query
+from trawl.llm.lm import op3_query
 from trawl.llm.media import op7_query
 from trawl.llm.mixing import OP2_SQL, op2_query
 from trawl.llm.pii import op4_query
@@ -12,6 +13,7 @@ from trawl.llm.toxicity import op10_query
 QUERIES = {
     "op1_interleave": op1_query,
     "op2_mix_ipf": op2_query,
+    "op3_deleted_interpolation": op3_query,
     "op4_pii_crf": op4_query,
     "op6_chat_tree": op6_query,
     "op7_media_columns": op7_query,
