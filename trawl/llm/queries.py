@@ -5,6 +5,7 @@ from trawl.llm.chat import op6_query
 from trawl.llm.lm import op3_query
 from trawl.llm.media import op7_query
 from trawl.llm.mixing import OP2_SQL, op2_query
+from trawl.llm.neardup_vectors import op5_query
 from trawl.llm.pii import op4_query
 from trawl.llm.sharding import op1_query
 from trawl.llm.simjoin import op8_query
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mix_ipf": op2_query,
     "op3_deleted_interpolation": op3_query,
     "op4_pii_crf": op4_query,
+    "op5_pca_tiles": op5_query,
     "op6_chat_tree": op6_query,
     "op7_media_columns": op7_query,
     "op8_ngram_jaccard": op8_query,
