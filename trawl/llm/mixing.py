@@ -79,14 +79,14 @@ def rake(cells: DataFrame, dims: tuple[str, ...] = DIMENSIONS, targets: dict | N
     return cells.select(*dims, "tok", "w")
 
 
-def mix(docs: DataFrame, dims: tuple[str, ...] = DIMENSIONS, tokens: str = "n_tokens", id_col: str = "doc_id", budget: float | None = None, **fit) -> DataFrame:
-    """``docs`` with ``rate`` and ``copies``.  ``budget``: expected tokens taken, as a share of all; None: as many as
-    can be had without repeating any document, so that the largest rate is 1."""
+def mix(docs: DataFrame, dims: tuple[str, ...] = DIMENSIONS, tokens: str = "n_tokens", id_col: str = "doc_id", budget: float = 1.0, repeat: bool = True, **fit) -> DataFrame:
+    """``docs`` with ``rate`` and ``copies``.  ``budget``: expected tokens taken, as a share of all.  Without
+    ``repeat`` rates end at 1, so that no document is taken twice and scarce cells are merely kept whole."""
     cells = rake(docs.groupBy(*dims).agg(F.sum(tokens).alias("tok")), dims, **fit)
-    rate = F.when(F.col("tok") > 0, F.col("w") / F.col("tok"))
     whole = Window.partitionBy()
-    scaled = rate / F.max(rate).over(whole) if budget is None else rate * F.sum("tok").over(whole) * budget / F.sum("w").over(whole)
-    rates = cells.select(*[F.col(d).alias(f"r_{d}") for d in dims], F.round(F.coalesce(scaled, F.lit(1.0)), 6).alias("rate"))
+    rate = F.when(F.col("tok") > 0, F.col("w") / F.col("tok")) * F.sum("tok").over(whole) * budget / F.sum("w").over(whole)
+    rate = F.round(F.coalesce(rate, F.lit(1.0)), 6)
+    rates = cells.select(*[F.col(d).alias(f"r_{d}") for d in dims], (rate if repeat else F.least(rate, F.lit(1.0))).alias("rate"))
     on = [F.col(d).eqNullSafe(F.col(f"r_{d}")) for d in dims]
     out = docs.join(rates, on, "left").drop(*[f"r_{d}" for d in dims])
     more = uniform(F.col(id_col)) < F.col("rate") - F.floor("rate")
@@ -130,7 +130,7 @@ it AS (
   UNION ALL"""
     + _STEP
     + """),
-f AS (SELECT source, lang, topic, round(coalesce(w / nullif(tok, 0) / max(w / nullif(tok, 0)) OVER (), 1.0), 6) AS rate FROM it WHERE i = {rounds})
+f AS (SELECT source, lang, topic, round(coalesce(w / nullif(tok, 0) * sum(tok) OVER () / sum(w) OVER (), 1.0), 6) AS rate FROM it WHERE i = {rounds})
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, f.rate,
        (floor(f.rate) + CASE WHEN ('0x' || substr(md5('{seed}' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::UBIGINT / 4503599627370496.0 < f.rate - floor(f.rate) THEN 1 ELSE 0 END)::INTEGER AS copies
 FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic
