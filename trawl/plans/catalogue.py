@@ -1,4 +1,306 @@
-"""Registered queries of the engine and the SQL that checks each."""
+"""Registered queries of the engine, each over whole tables, and the SQL that checks it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawl.functions import analyzers
+from trawl.operators import collect, mutate
+from trawl.operators import query as q
+from trawl.operators.cluster import gather, histogram, rejected, route, spans
+from trawl.operators.index import Catalog, Collection, FieldSpec, discovered
+from trawl.sources.store import export
+from trawl.streaming.buffer import merged, tagged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# ---------------------------------------------------------------------------------------------- collections
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Collection:
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("weight", (F.col("n_chars") % 100).cast("int"))
+    fields = (FieldSpec("text", analyzer="CWS"), FieldSpec("lang"), FieldSpec("source", ranged=True), FieldSpec("n_chars", "bigint"))
+    return Collection(df, Catalog(fields), "doc_id", "weight")
+
+
+def part(spark: SparkSession, sf_dir: str) -> Collection:
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").withColumnRenamed("p_partkey", "doc_id")
+    fields = (FieldSpec("p_name", analyzer="CWS"), FieldSpec("p_brand", ranged=True), FieldSpec("p_size", "int"), FieldSpec("p_retailprice", "double"))
+    return Collection(df, Catalog(fields), "doc_id", "p_size")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Collection:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_orderkey", "doc_id")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    df = df.withColumn("day", day).withColumn("weight", F.regexp_replace(day, "-", "").cast("int"))
+    fields = (FieldSpec("o_orderstatus"), FieldSpec("o_custkey", "bigint"), FieldSpec("o_totalprice", "double"), FieldSpec("day", ranged=True), FieldSpec("o_orderpriority"))
+    return Collection(df, Catalog(fields), "doc_id", "weight")
+
+
+def customer(spark: SparkSession, sf_dir: str) -> Collection:
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumnRenamed("c_custkey", "doc_id")
+    return Collection(df, Catalog((FieldSpec("c_acctbal", "double"), FieldSpec("c_nationkey", "int"), FieldSpec("c_mktsegment"))), "doc_id", "c_nationkey")
+
+
+#: DuckDB forms of the collections.
+TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+SQL_DOCS = f"docs AS (SELECT doc_id, text, lang, source, n_chars, (n_chars % 100)::INTEGER AS weight, {TOKENS.format('text')} AS toks FROM documents)"
+SQL_PART = f"parts AS (SELECT p_partkey AS doc_id, p_name, p_brand, p_size, p_retailprice, {TOKENS.format('p_name')} AS toks FROM part)"
+SQL_ORDERS = "ords AS (SELECT o_orderkey AS doc_id, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y%m%d')::INTEGER AS weight FROM orders)"
+
+
+def add(name: str, run, sql: str | None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def ids(c: Collection, node) -> DataFrame:
+    return c.search(node).select("doc_id")
+
+
+def has(*terms: str) -> str:
+    return " AND ".join(f"list_contains(toks, '{t}')" for t in terms)
+
+
+# ---------------------------------------------------------------------------------------------- leaves
+
+LEAVES = {
+    "term_exact_string": (documents, q.term("lang", "de"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'de'"),
+    "term_unknown_field": (documents, q.term("nothing", "de"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE false"),
+    "term_int32": (part, q.number("p_size", 7), f"WITH {SQL_PART} SELECT doc_id FROM parts WHERE p_size = 7"),
+    "term_int64": (orders, q.number("o_custkey", 42), f"WITH {SQL_ORDERS} SELECT doc_id FROM ords WHERE o_custkey = 42"),
+    "term_double": (part, q.number("p_retailprice", 950.0), f"WITH {SQL_PART} SELECT doc_id FROM parts WHERE p_retailprice = 950.0"),
+    "term_analyzed_and": (documents, q.term("text", "The and OF", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the', 'and', 'of')}"),
+    "term_analyzed_or": (documents, q.term("text", "$$$und avec", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE list_has_any(toks, ['und', 'avec'])"),
+    "multi_field": (documents, q.term("text", "the", "CWS") & q.term("lang", "en") & q.between("n_chars", "closed", 500, 5000), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the')} AND lang = 'en' AND n_chars BETWEEN 500 AND 5000"),
+    "bool_and": (documents, q.term("text", "the", "CWS") & q.term("text", "not", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the', 'not')}"),
+    "bool_or": (documents, q.term("lang", "fr") | q.term("text", "und", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'fr' OR {has('und')}"),
+    "bool_minus": (documents, q.term("text", "the", "CWS") - q.term("text", "of", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the')} AND NOT {has('of')}"),
+    "bool_nested": (documents, (q.term("text", "the", "CWS") | q.term("text", "die", "CWS")) - (q.term("source", "src1") | q.between("n_chars", "lt", high=1000)), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE ({has('the')} OR {has('die')}) AND NOT (source = 'src1' OR n_chars < 1000)"),
+    "bool_infix": (documents, q.infix("query|query&(query|query)", q.term("lang", "de"), q.term("lang", "en"), q.term("text", "the", "CWS"), q.term("text", "und", "CWS")), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE (lang = 'de' OR lang = 'en') AND ({has('the')} OR {has('und')})"),
+    "bool_sentence": (documents, q.sentence("text", "with and from"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('with', 'and', 'from')}"),
+}
+
+for _name, (_of, _node, _sql) in LEAVES.items():
+    add(_name, lambda s, d, of=_of, node=_node: ids(of(s, d), node), _sql)
+
+# ---------------------------------------------------------------------------------------------- ranges
+
+_RANGES = {
+    "int32": (part, "p_size", 10, 20, SQL_PART, "parts"),
+    "int64": (documents, "n_chars", 1000, 4000, SQL_DOCS, "docs"),
+    "double": (part, "p_retailprice", 910.0, 950.0, SQL_PART, "parts"),
+    "string": (orders, "day", "1996-03-01", "1998-07-15", SQL_ORDERS, "ords"),
+}
+_BOUNDS = {"closed": "{f} >= {a} AND {f} <= {b}", "en": "{f} >= {a} AND {f} < {b}", "nn": "{f} > {a} AND {f} < {b}", "ne": "{f} > {a} AND {f} <= {b}", "gt": "{f} > {a}", "ge": "{f} >= {a}", "lt": "{f} < {b}", "le": "{f} <= {b}", "all": "{f} IS NOT NULL"}
+
+for _kind, (_of, _field, _a, _b, _with, _table) in _RANGES.items():
+    for _form, _cond in _BOUNDS.items():
+        _where = _cond.format(f=_field, a=repr(_a), b=repr(_b))
+        add(f"range_{_kind}_{_form}", lambda s, d, of=_of, node=q.between(_field, _form, _a, _b): ids(of(s, d), node), f"WITH {_with} SELECT doc_id FROM {_table} WHERE {_where}")
+
+add("range_double_negative", lambda s, d: ids(customer(s, d), q.between("c_acctbal", "lt", high=0.0)), "SELECT c_custkey AS doc_id FROM customer WHERE c_acctbal < 0")
+add("range_string_plain_field", lambda s, d: ids(orders(s, d), q.between("o_orderpriority", "ge", "2")), "SELECT o_orderkey AS doc_id FROM orders WHERE false")
+
+# ---------------------------------------------------------------------------------------------- phrases
+
+
+def phrase_sql(*terms: str, more: str = "true") -> str:
+    k = len(terms)
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""WITH {SQL_DOCS},
+t AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM docs WHERE {has(*terms)} AND {more}),
+p AS (SELECT * FROM t WHERE term IN ({listed}) QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) <= 5)
+SELECT DISTINCT a.doc_id FROM p a WHERE (SELECT count(DISTINCT b.term) FROM p b WHERE b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + {k - 1}) = {k}"""
+
+
+add("phrase_two", lambda s, d: ids(documents(s, d), q.phrase("text", "of the")), phrase_sql("of", "the"))
+add("phrase_three", lambda s, d: ids(documents(s, d), q.phrase("text", "in the and")), phrase_sql("in", "the", "and"))
+add("phrase_unordered", lambda s, d: ids(documents(s, d), q.phrase("text", "the in")), phrase_sql("in", "the"))
+add("phrase_repeated_word", lambda s, d: ids(documents(s, d), q.phrase("text", "the the")), "SELECT doc_id FROM documents WHERE false")
+add("phrase_in_sentence", lambda s, d: ids(documents(s, d), q.sentence("text", 'and "of the" with')), phrase_sql("of", "the", more=has("and", "with")))
+add("phrase_minus", lambda s, d: ids(documents(s, d), q.term("lang", "en") - q.phrase("text", "of the")), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'en' EXCEPT ({phrase_sql('of', 'the')})")
+
+# ---------------------------------------------------------------------------------------------- order, pages
+
+THE = q.term("text", "the", "CWS")
+
+
+def _ranks(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("doc_id", *more, "rank")
+
+
+def _rank_sql(with_: str, table: str, where: str, order: str, extra: str = "", limit: str = "") -> str:
+    return f"WITH {with_}, h AS (SELECT * FROM {table} WHERE {where} {limit}) SELECT doc_id{extra}, (row_number() OVER (ORDER BY {order}))::INTEGER AS rank FROM h"
+
+
+def narrow(c: Collection, node, *cols: str) -> Collection:
+    """Matches with the columns that ordering needs, so no text is sorted."""
+    df = c.search(node).select("doc_id", *cols)
+    return Collection(df, c.catalog, c.id_col, c.weight)
+
+
+EVERY = q.between("n_chars", "all")
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    c = narrow(documents(s, d), THE & q.between("n_chars", "closed", 500, 5000), "n_chars")
+    return _ranks(collect.order_by(c, EVERY, ("n_chars", "asc"), n=100, mode="global"), "n_chars")
+
+
+add("flagship", flagship, _rank_sql(SQL_DOCS, "docs", f"{has('the')} AND n_chars BETWEEN 500 AND 5000", "n_chars, doc_id DESC", ", n_chars") + " QUALIFY rank <= 100")
+add("sort_default", lambda s, d: _ranks(collect.sort_default(narrow(documents(s, d), THE, "n_chars"), EVERY)), _rank_sql(SQL_DOCS, "docs", has("the"), "doc_id DESC"))
+add("sort_weight", lambda s, d: _ranks(collect.sort_weight(narrow(documents(s, d), THE, "n_chars", "weight"), EVERY), "weight"), _rank_sql(SQL_DOCS, "docs", has("the"), "weight DESC, doc_id DESC", ", weight"))
+_BIG = q.between("o_totalprice", "ge", 300000.0)
+add("orderby_multi", lambda s, d: _ranks(collect.order_by(part(s, d), q.between("p_size", "closed", 5, 15), ("p_size", "asc"), ("p_retailprice", "desc"))), _rank_sql(SQL_PART, "parts", "p_size BETWEEN 5 AND 15", "p_size, p_retailprice DESC, doc_id DESC"))
+add("topk_recent", lambda s, d: _ranks(collect.order_by(orders(s, d), _BIG, ("o_totalprice", "desc"), n=50)), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "o_totalprice DESC, doc_id DESC", limit="ORDER BY doc_id DESC LIMIT 50"))
+add("topk_global", lambda s, d: _ranks(collect.order_by(orders(s, d), _BIG, ("o_totalprice", "desc"), n=50, mode="global")), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "o_totalprice DESC, doc_id DESC") + " QUALIFY rank <= 50")
+add("weight_recent", lambda s, d: _ranks(collect.sort_weight(orders(s, d), _BIG, n=40), "weight"), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "weight DESC, doc_id DESC", ", weight", "ORDER BY doc_id DESC LIMIT 40"))
+_CURSOR = collect.Cursor(size=25)
+_PAGED = _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "doc_id DESC")
+add("page_next", lambda s, d: _ranks(collect.page(collect.sort_default(orders(s, d), _BIG), _CURSOR.jump(2))), _PAGED + " QUALIFY rank BETWEEN 51 AND 75")
+add("page_back", lambda s, d: _ranks(collect.page(collect.sort_default(orders(s, d), _BIG), _CURSOR.jump(3).jump(-2))), _PAGED + " QUALIFY rank BETWEEN 26 AND 50")
+add("page_before_start", lambda s, d: _ranks(collect.page(collect.sort_default(orders(s, d), _BIG), _CURSOR.jump(-1))), _PAGED + " QUALIFY rank < 0")
+add("weight_filter", lambda s, d: _ranks(collect.filter_weight(narrow(documents(s, d), THE, "weight"), narrow(documents(s, d), THE, "weight").df, 20, 40), "weight"), _rank_sql(SQL_DOCS, "docs", f"{has('the')} AND weight BETWEEN 20 AND 40", "weight DESC, doc_id DESC", ", weight"))
+add("weight_filter_date", lambda s, d: _ranks(collect.filter_weight(c := orders(s, d), c.search(_BIG), "1997-01-01", "1998-12-31"), "weight"), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000 AND weight BETWEEN 19970101 AND 19981231", "weight DESC, doc_id DESC", ", weight"))
+add("post_filter", lambda s, d: collect.post_filter(c := orders(s, d), c.search(_BIG), q.between("day", "closed", "1996-01-01", "1996-12-31") | q.between("o_custkey", "closed", 1, 50)).select("doc_id"), f"WITH {SQL_ORDERS} SELECT doc_id FROM ords WHERE o_totalprice >= 300000 AND (day BETWEEN '1996-01-01' AND '1996-12-31' OR o_custkey BETWEEN 1 AND 50)")
+add("post_filter_ordered", lambda s, d: _ranks(collect.post_filter(c := orders(s, d), c.search(_BIG), q.between("o_custkey", "closed", 1, 500), True)), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000 AND o_custkey BETWEEN 1 AND 500", "o_custkey DESC, doc_id DESC"))
+add("count_only", lambda s, d: collect.count(documents(s, d), THE), f"WITH {SQL_DOCS} SELECT count(*) AS n_hits FROM docs WHERE {has('the')}")
+add("key_positions", lambda s, d: s.createDataFrame([(t,) for t in collect.key_positions(q.sentence("text", 'and "of the" with') - q.term("text", "und", "CWS"), "text")], "term string"), "SELECT unnest(['and', 'of', 'the', 'with', 'und']) AS term")
+add("fetch_documents", lambda s, d: collect.fetch(collect.sort_default(orders(s, d), _BIG, n=30), orders(s, d)).select("doc_id", "rank", "o_totalprice", "day"), f"WITH {SQL_ORDERS} SELECT doc_id, (row_number() OVER (ORDER BY doc_id DESC))::INTEGER AS rank, o_totalprice, day FROM ords WHERE o_totalprice >= 300000 QUALIFY rank <= 30")
+
+# ---------------------------------------------------------------------------------------------- scores
+
+
+def score_sql(terms: list[str], where: str, plus: str = "0.0") -> str:
+    """The fold as a recursion over the entries of each document."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""WITH RECURSIVE {SQL_DOCS}, hit AS (SELECT * FROM docs WHERE {where}),
+t AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1)::INTEGER AS pos FROM hit),
+p AS (SELECT * FROM t WHERE term IN ({listed}) QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) <= 5),
+e AS (SELECT doc_id, pos, term, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS j, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS n, greatest(200.0, max(pos) OVER (PARTITION BY doc_id)) AS longest, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS pp, lag(term) OVER (PARTITION BY doc_id ORDER BY pos) AS pt FROM p),
+f AS (
+  SELECT doc_id, n, 0 AS j, 0 AS i, [term] AS keys, pos::DOUBLE AS total, 1.0::DOUBLE AS item, 0.0::DOUBLE AS score FROM e WHERE j = 0
+  UNION ALL
+  SELECT doc_id, n, j, CASE WHEN cont THEN i ELSE j END, CASE WHEN cont THEN list_append(keys, term) ELSE [term] END, CASE WHEN cont THEN total ELSE 0 END + pos, CASE WHEN cont THEN item2 ELSE 1.0 END,
+         CASE WHEN cont THEN score WHEN j - i > 1 THEN score + (2 - total / j / longest) / item2 ELSE score + CASE WHEN term <> pt THEN (pos - pp) * 2.0 ELSE pos - pp END + 2 - floor((pp + pos) / 2) / longest END
+  FROM (SELECT *, joins AND j < n - 1 AND j - i < 30 AS cont, CASE WHEN joins THEN item * 0.01 ELSE item END AS item2
+        FROM (SELECT f.doc_id, f.n, e.j, f.i, f.keys, f.total, f.item, f.score, e.pos, e.term, e.pp, e.pt, e.longest, (e.pos = e.pp + 1 AND NOT list_contains(f.keys, e.term) AND e.j - f.i <= 30) AS joins
+              FROM f JOIN e ON e.doc_id = f.doc_id AND e.j = f.j + 1))),
+raw AS (SELECT doc_id, CASE WHEN n = 1 THEN 1.0 ELSE score END + {plus} AS score FROM f WHERE j = n - 1)
+"""
+
+
+NORMAL = """SELECT doc_id, round(CASE WHEN hi / lo < 10 THEN ln(score + 1) * 10 / ln(hi + 1) ELSE least(10.0, (ln(score + 2) - ln(lo + 1)) * 10 / (ln(hi + 1) - ln(lo + 1))) END * 1000 * CASE WHEN hi < 100 THEN 0.3 ELSE 1.0 END, 6) AS score
+FROM (SELECT *, max(score) OVER () AS hi, min(score) OVER () AS lo FROM raw)"""
+_PAIR = q.term("text", "of the", "CWS")
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.round("score", 6).alias("score"))
+
+
+add("score_raw", lambda s, d: _scores(collect.scored(documents(s, d), _PAIR)), score_sql(["of", "the"], has("of", "the")) + "SELECT doc_id, round(score, 6) AS score FROM raw")
+add("score_normalized", lambda s, d: _scores(collect.normalised(collect.scored(documents(s, d), _PAIR).select("doc_id", "score"))), score_sql(["of", "the"], has("of", "the")) + NORMAL)
+add("score_multi_field", lambda s, d: _scores(collect.scored(documents(s, d), q.term("text", "in the and", "CWS") & q.term("lang", "en"))), score_sql(["in", "the", "and"], has("in", "the", "and") + " AND lang = 'en'", "1.0") + "SELECT doc_id, round(score, 6) AS score FROM raw")
+add("score_recent", lambda s, d: _scores(collect.normalised(collect.scored(documents(s, d), _PAIR, n=60).select("doc_id", "score"))), score_sql(["of", "the"], f"{has('of', 'the')} AND doc_id IN (SELECT doc_id FROM docs WHERE {has('of', 'the')} ORDER BY doc_id DESC LIMIT 60)") + NORMAL)
+
+# ---------------------------------------------------------------------------------------------- index, catalog
+
+_TERMS = f"WITH {SQL_DOCS}, t AS (SELECT doc_id, weight, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM docs)"
+add("postings_build", lambda s, d: documents(s, d).postings("text").select("term", "doc_id", "weight", "key_count", F.array_join("positions", ",").alias("positions")), f"{_TERMS} SELECT term, doc_id, any_value(weight) AS weight, count(*)::INTEGER AS key_count, array_to_string(list_slice(list(pos ORDER BY pos), 1, 5), ',') AS positions FROM t GROUP BY term, doc_id")
+add("dictionary_counts", lambda s, d: documents(s, d).dictionary("text"), f"{_TERMS} SELECT term, count(DISTINCT doc_id) AS n_docs, count(*)::BIGINT AS n_total FROM t GROUP BY term")
+add("dictionary_exact", lambda s, d: documents(s, d).dictionary("source"), "SELECT source AS term, count(*) AS n_docs, count(*) AS n_total FROM documents WHERE source IS NOT NULL GROUP BY source")
+add("field_catalog", lambda s, d: s.createDataFrame(discovered(s.read.parquet(f"{d}/documents.parquet"), analysed=("text",), skip=("doc_id",)).rows(), "fid int, name string, analyzer string, kind string"), "SELECT * FROM (VALUES (456, 'text', 'CWS', 'string'), (712, 'lang', NULL, 'string'), (968, 'source', NULL, 'string'), (1224, 'n_chars', NULL, 'bigint')) v(fid, name, analyzer, kind)")
+add("catalog_changes", lambda s, d: s.createDataFrame(Catalog().add(FieldSpec("body", analyzer="CWS")).add(FieldSpec("price", "int")).modify("body", FieldSpec("body2", "int")).remove("price").rows(), "fid int, name string, analyzer string, kind string"), "SELECT * FROM (VALUES (456, '', NULL, 'string'), (712, '', NULL, 'int'), (968, 'body2', NULL, 'int')) v(fid, name, analyzer, kind)")
+add("export_scan", lambda s, d: export(orders(s, d).df, 100, 5000).select("doc_id", "o_totalprice", "day"), f"WITH {SQL_ORDERS} SELECT doc_id, o_totalprice, day FROM ords WHERE doc_id BETWEEN 100 AND 5000")
+add("doc_total", lambda s, d: documents(s, d).df.agg(F.count("*").alias("n_docs")), "SELECT count(*) AS n_docs FROM documents")
+
+# ---------------------------------------------------------------------------------------------- changes
+
+_COLS = ("doc_id", "lang", "source", "n_chars")
+
+
+def _base(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select(*_COLS)
+
+
+def _replaced(s, d):
+    b = _base(s, d)
+    return mutate.modify(b, b.where("source = 'src3'").select("doc_id", F.lit("xx").alias("lang"), F.lit("url").alias("note")))
+
+
+def _incremented(s, d):
+    b = _base(s, d)
+    return mutate.increment(b, b.where("lang = 'de'").select("doc_id", F.lit("+").alias("source"), F.lit(7).cast("long").alias("n_chars"), F.lit(1).alias("absent")))
+
+
+def _versions(b: DataFrame) -> DataFrame:
+    """Two versions of one source's documents and a deletion of another's."""
+    one = b.where("source = 'src1'").select("doc_id", F.lit("v1").alias("lang"), "source", "n_chars", F.lit(1).cast("long").alias("ts"), F.lit("modify").alias("op"))
+    two = b.where("source = 'src1' and lang = 'en'").select("doc_id", F.lit("v2").alias("lang"), "source", "n_chars", F.lit(2).cast("long").alias("ts"), F.lit("modify").alias("op"))
+    gone = b.where("source = 'src2'").select(*_COLS, F.lit(3).cast("long").alias("ts"), F.lit("delete").alias("op"))
+    new = b.where("source = 'src4'").select((F.col("doc_id") + 10_000_000_000).alias("doc_id"), "lang", "source", "n_chars", F.lit(4).cast("long").alias("ts"), F.lit("add").alias("op"))
+    return one.unionByName(two).unionByName(gone).unionByName(new)
+
+
+_MERGED = """SELECT doc_id, CASE WHEN source = 'src1' THEN CASE WHEN lang = 'en' THEN 'v2' ELSE 'v1' END ELSE lang END AS lang, source, n_chars FROM documents WHERE source <> 'src2'
+UNION ALL SELECT doc_id + 10000000000, lang, source, n_chars FROM documents WHERE source = 'src4'"""
+
+
+def _entries(s, d):
+    """Entries of the exact key ``source``: all documents at ts 1, tombstones for one language at 2, back again for one source at 3."""
+    b = _base(s, d).select(F.lit("source").alias("field"), F.col("source").alias("term"), "doc_id", "lang")
+    first = b.withColumn("ts", F.lit(1)).withColumn("flag", F.lit(1))
+    dead = b.where("lang = 'fr'").withColumn("ts", F.lit(2)).withColumn("flag", F.lit(0))
+    back = b.where("lang = 'fr' and term = 'src5'").withColumn("ts", F.lit(3)).withColumn("flag", F.lit(1))
+    return mutate.live_postings(first.unionByName(dead).unionByName(back).drop("lang"))
+
+
+add("modify_replace", _replaced, "SELECT doc_id, CASE WHEN source = 'src3' THEN 'xx' ELSE lang END AS lang, source, n_chars, CASE WHEN source = 'src3' THEN 'url' END AS note FROM documents")
+add("modify_increment", _incremented, "SELECT doc_id, lang, CASE WHEN lang = 'de' THEN source || '+' ELSE source END AS source, CASE WHEN lang = 'de' THEN n_chars + 7 ELSE n_chars END AS n_chars FROM documents")
+add("delete_docs", lambda s, d: mutate.delete(_base(s, d), _base(s, d).where("lang = 'es'")), "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang <> 'es'")
+add("posting_dedupe", _entries, "SELECT 'source' AS field, source AS term, doc_id, (CASE WHEN lang = 'fr' THEN 3 ELSE 1 END)::INTEGER AS ts, 1::INTEGER AS flag FROM documents WHERE lang <> 'fr' OR source = 'src5'")
+add("read_your_writes", lambda s, d: merged(b := _base(s, d), _versions(b)).where("lang in ('v2', 'de')").select("doc_id"), f"SELECT doc_id FROM ({_MERGED}) WHERE lang IN ('v2', 'de')")
+add("fresh_plus_base", lambda s, d: tagged(b := _base(s, d), _versions(b)).select("doc_id", "lang", "origin"), "SELECT doc_id, lang, 'base' AS origin FROM documents UNION ALL SELECT doc_id, 'v1', 'buffer' FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, 'v2', 'buffer' FROM documents WHERE source = 'src1' AND lang = 'en' UNION ALL SELECT doc_id, lang, 'buffer' FROM documents WHERE source = 'src2' UNION ALL SELECT doc_id + 10000000000, lang, 'buffer' FROM documents WHERE source = 'src4'")
+add("compaction", lambda s, d: merged(b := _base(s, d), _versions(b)), _MERGED)
+
+# ---------------------------------------------------------------------------------------------- cluster
+
+SPANS = spans("[1,1000]", "[,2500]", "[,6000]", "[7000,]")
+_ROUTED = "routed AS (SELECT *, CASE WHEN n_chars BETWEEN 1 AND 1000 THEN 0 WHEN n_chars BETWEEN 1001 AND 2500 THEN 1 WHEN n_chars BETWEEN 2501 AND 6000 THEN 2 WHEN n_chars >= 7000 THEN 3 END AS chunk FROM docs)"
+
+
+def _routed(s, d, node=THE):
+    return route(documents(s, d).search(node).select("doc_id", "n_chars", "weight"), "n_chars", SPANS)
+
+
+add("route_spans", lambda s, d: route(_base(s, d), "n_chars", SPANS).select("doc_id", "chunk"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, chunk::INTEGER AS chunk FROM routed WHERE chunk IS NOT NULL")
+add("route_rejected", lambda s, d: rejected(_base(s, d), "n_chars", SPANS).select("doc_id"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id FROM routed WHERE chunk IS NULL AND n_chars <> 0")
+_SCATTER = f"WITH {SQL_DOCS}, {_ROUTED}, own AS (SELECT doc_id, chunk::INTEGER AS chunk, (row_number() OVER (PARTITION BY chunk ORDER BY doc_id DESC))::INTEGER AS chunk_rank FROM routed WHERE chunk IS NOT NULL AND {has('the')})"
+_ALL = "SELECT doc_id, chunk, (row_number() OVER (ORDER BY chunk, chunk_rank))::INTEGER AS rank FROM own"
+_gathered = lambda s, d, n=0: gather(_routed(s, d), F.desc("doc_id"), n=n).select("doc_id", "chunk", "rank")
+add("scatter_search", _gathered, f"{_SCATTER} {_ALL}")
+add("scatter_limit", lambda s, d: _gathered(s, d, 20), f"{_SCATTER} {_ALL} WHERE chunk_rank <= 20")
+add("scatter_page", lambda s, d: collect.page(_gathered(s, d), collect.Cursor(30, 30)), f"{_SCATTER} {_ALL} QUALIFY rank BETWEEN 31 AND 60")
+add("scatter_global", lambda s, d: gather(_routed(s, d), F.desc("weight"), F.desc("doc_id"), global_order=True).select("doc_id", "rank"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, (row_number() OVER (ORDER BY weight DESC, doc_id DESC))::INTEGER AS rank FROM routed WHERE chunk IS NOT NULL AND {has('the')}")
+add("split_histogram", lambda s, d: histogram(_base(s, d), "n_chars", 14999), "SELECT r.value::BIGINT AS value, count(d.doc_id) AS n FROM range(0, 15000) r(value) LEFT JOIN documents d ON d.n_chars = r.value GROUP BY 1")
+
+# ---------------------------------------------------------------------------------------------- analysis
+
+
+def _custom(s, d):
+    c = documents(s, d)
+    tokens = analyzers.with_dictionary(["of the", "in the"])(F.col("text"))
+    return c.df.where(F.array_contains(tokens, "of_the")).select("doc_id")
+
+
+add("custom_dictionary", _custom, f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')")
+add("analyze_tokens", lambda s, d: documents(s, d).df.select("doc_id", F.size(analyzers.words(F.col("text"))).cast("long").alias("n_tokens"), F.array_size(F.array_distinct(analyzers.words(F.col("text")))).cast("long").alias("n_terms")), f"WITH {SQL_DOCS} SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_terms FROM docs")
+add("range_lineitem", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").where(Collection(None, Catalog((FieldSpec("l_quantity", "double"), FieldSpec("l_linenumber", "int"))), "l_orderkey").matches(q.between("l_quantity", "en", 10.0, 20.0) & q.between("l_linenumber", "le", high=3))).select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_linenumber <= 3")
+add("events_double_range", lambda s, d: ids(Collection(s.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_id", "doc_id"), Catalog((FieldSpec("value", "double"), FieldSpec("user_id", "bigint"), FieldSpec("event_type"))), "doc_id"), q.between("value", "nn", 10.0, 60.0) & q.term("event_type", "click")), "SELECT event_id AS doc_id FROM events WHERE value > 10 AND value < 60 AND event_type = 'click'")
+add("conversation_terms", lambda s, d: Collection(s.read.parquet(f"{d}/conversations.parquet"), Catalog((FieldSpec("text", analyzer="CWS"), FieldSpec("role"))), "conv_id").search(q.term("text", "the of", "CWS") & q.term("role", "user")).select("conv_id", "turn"), f"SELECT conv_id, turn FROM (SELECT *, {TOKENS.format('text')} AS toks FROM conversations) WHERE {has('the', 'of')} AND role = 'user'")
+add("page_url_lookup", lambda s, d: Collection(s.read.parquet(f"{d}/pages.parquet"), Catalog((FieldSpec("url"), FieldSpec("html", analyzer="CWS"))), "page_id").search(q.term("html", "div the", "CWS") - q.term("url", "http://example.com/")).select("page_id"), f"SELECT page_id FROM (SELECT *, {TOKENS.format('html')} AS toks FROM pages) WHERE {has('div', 'the')} AND coalesce(url, '') <> 'http://example.com/'")
