@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import chunks, written
 
-BLOCK_BYTES = 16 << 20
-BUCKET_KEYS = 3_000_000
+BLOCK_BYTES = 6 << 20
+BUCKET_KEYS = 2_000_000
 SUM, COUNTED = -1, -2
 
 
@@ -55,7 +55,7 @@ def reclaim(spark) -> None:
 
 
 def blocks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", flag: Column | None = None) -> DataFrame:
-    """(block, ids, flags, size, data): each row some 16 MB of whole texts."""
+    """(block, ids, flags, size, data): each row some 6 MB of whole texts."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.lit(0) if flag is None else flag).cast("int").alias("flag"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
