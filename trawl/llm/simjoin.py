@@ -146,15 +146,16 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3
                     common = np.flatnonzero(f[:length] > 1)
                     if len(common):
                         sets.append((i, np.sort(tokens.view(np.int64))))
-                        out.append((i, l, common + 1 - (n - least), tokens[common].view(np.int64)))
+                        out.append((i, l, common + 1, tokens[common].view(np.int64), int((f == 1).sum())))
                 for part in range(0, len(sets), 256):
                     own = np.array([i for i, _ in sets[part : part + 256]])
                     yield _batch(kind=np.ones(len(own), np.int32), id=[row["ids"][i] for i in own], n=sizes[own], p=p[own], q=q[own], tokens=[s for _, s in sets[part : part + 256]])
                 if out:
-                    own = np.repeat([i for i, *_ in out], [len(t) for *_, t in out])
-                    yield _batch(kind=np.full(len(own), 2, np.int32), n=sizes[own], p=p[own], q=q[own], token=np.concatenate([t for *_, t in out]), matches=np.repeat([l for _, l, *_ in out], [len(t) for *_, t in out]), level=np.maximum(1, np.concatenate([v for _, _, v, _ in out])))
+                    sizes_of = [len(t) for _, _, _, t, _ in out]
+                    own = np.repeat([x[0] for x in out], sizes_of)
+                    yield _batch(kind=np.full(len(own), 2, np.int32), n=sizes[own], p=p[own], q=q[own], token=np.concatenate([x[3] for x in out]), matches=np.repeat([x[1] for x in out], sizes_of), place=np.concatenate([x[2] for x in out]), alone=np.repeat([x[4] for x in out], sizes_of))
 
-    fields = "kind int, id long, n long, p long, q long, token long, matches int, level int, tokens array<long>"
+    fields = "kind int, id long, n long, p long, q long, token long, matches int, place int, alone int, tokens array<long>"
     rows = written(with_totals(packed, answers).select("block", "ids", "data", "answers").mapInArrow(prefixes, fields), "prefixes")
     drop_tables(packed, answers)
     reclaim(spark)
@@ -165,9 +166,9 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3
     same = ["n", "p", "q"]
     sets = rows.where("kind = 1").groupBy(*same).agg(F.first("tokens").alias("tokens")).join(known, same).select("rep", "n", "tokens")
     sets = written(sets, "sets")
-    posted = rows.where("kind = 2").select(*same, "token", "matches", "level").distinct().join(known, same)
+    posted = rows.where("kind = 2").select(*same, "token", "matches", "place", "alone").dropDuplicates([*same, "token"]).join(known, same)
     of_token = Window.partitionBy("token")
-    posted = posted.withColumn("df", F.count("*").over(of_token)).where("df > 1").select("token", "rep", "n", "matches", "level")
+    posted = posted.withColumn("df", F.count("*").over(of_token)).where("df > 1").select("token", "rep", "n", "matches", "place", "alone")
     posted = written(posted, "postings")
 
     linked = None
@@ -178,7 +179,7 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3
         else:
             on = on.withColumn("comp", F.col("rep"))
         on = on.withColumn("low", F.min("comp").over(of_token)).withColumn("high", F.max("comp").over(of_token)).where("low <> high")
-        on = written(on.select("token", "rep", "n", "matches", "level", "comp"), "open-postings")
+        on = written(on.select("token", "rep", "n", "matches", "place", "alone", "comp"), "open-postings")
         pairs = _stars(on, percent, turn) if turn < ROUNDS else _candidates(on, percent)
         found = written(verified(pairs, sets, percent).select("a", "b"), "links")
         if not found.isEmpty():
@@ -195,36 +196,49 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3
 
 
 def _batch(**cols) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "id": pa.int64(), "n": pa.int64(), "p": pa.int64(), "q": pa.int64(), "token": pa.int64(), "matches": pa.int32(), "level": pa.int32(), "tokens": pa.list_(pa.int64())}
+    kinds = {"kind": pa.int32(), "id": pa.int64(), "n": pa.int64(), "p": pa.int64(), "q": pa.int64(), "token": pa.int64(), "matches": pa.int32(), "place": pa.int32(), "alone": pa.int32(), "tokens": pa.list_(pa.int64())}
     size = len(cols["kind"])
     arrays = [pa.array(cols[c], kinds[c]) if c in cols else pa.nulls(size, kinds[c]) for c in kinds]
     return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Sizes that the threshold allows."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _enough(overlap: Column, n_a: str, n_b: str, percent: int) -> Column:
+    """Whether an overlap meets the threshold for sets of these sizes."""
+    return overlap * (100 + percent) >= (F.col(n_a) + F.col(n_b)) * percent
+
+
+def _can_meet(a: str, b: str, percent: int) -> Column:
+    """A pair that meets at a token, from the token's places: tokens before it that occur in one document alone are
+    not shared, and what follows is at most the shorter rest."""
+    c = lambda side, name: F.col(side.format(name))
+    before = F.least(c(a, "place") - c(a, "alone"), c(b, "place") - c(b, "alone"))
+    rest = F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place"))
+    sizes = F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent
+    return sizes & _enough(before + rest, a.format("n"), b.format("n"), percent)
 
 
 def _stars(posted: DataFrame, percent: int, turn: int) -> DataFrame:
     """For each document the posting mate that leads most of its tokens; leaders change with the turn."""
     of_token = Window.partitionBy("token")
-    rank = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("order"), "rep", "n", "comp")
+    rank = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("order"), "rep", "n", "place", "alone", "comp")
     led = posted.withColumn("lead", F.min(rank).over(of_token)).where(F.col("lead.comp") != F.col("comp"))
-    led = led.where(_close("n", "lead.n", percent))
+    led = led.where(_can_meet("{}", "lead.{}", percent))
     votes = led.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x"))
     return best.select("a", "x.b")
 
 
 def _candidates(posted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share enough of their prefixes."""
-    left = posted.select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "matches", "level", "comp")])
-    right = posted.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "matches", "level", "comp")])
+    """All pairs of different components that share enough of their prefixes, and can still share enough in all."""
+    least = F.ceil(F.col("n") * percent / 100)
+    posted = posted.withColumn("level", F.greatest(F.lit(1), F.col("place") - (F.col("n") - least)))
+    names = ("rep", "n", "matches", "place", "alone", "level", "comp")
+    left, right = (posted.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
     need = F.least("matches_a", "matches_b")
-    met = left.join(right, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _close("n_a", "n_b", percent) & (F.greatest("level_a", "level_b") <= need))
-    shared = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
-    return shared.where("shared >= need").select("a", "b")
+    met = left.join(right, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.greatest("level_a", "level_b") <= need) & _can_meet("{}_a", "{}_b", percent))
+    shared = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"), F.first(need).alias("need"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    most = F.col("shared") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b"))
+    return shared.where((F.col("shared") >= F.col("need")) & _enough(most, "n_a", "n_b", percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +246,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(a, "a").join(b, "b").withColumn("overlap", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("overlap") * 100 >= (F.size("x") + F.size("y") - F.col("overlap")) * percent).select("a", "b", "overlap")
+    return both.where(F.col("overlap") * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b", "overlap")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
