@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import mix64
 
-MOST_TOXIC, MOST_CLEAN = 2000, 4000
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 STEM = (4, 8)  # shortest and longest stems tried
 LEAST_ODDS = 3.0
 LEAST_TEST = 22.0  # chi-squared with one degree; thousands of terms are tried
@@ -207,10 +207,14 @@ class Model:
         return 1 / (1 + np.exp(-(self.base + x @ self.weights)))
 
 
-def families(docs: list[list[str]], hashes: int = 4) -> list[int]:
+def words_in(text: str) -> list[str]:
+    return [w for c in clauses(text.lower()) for w in c]
+
+
+def families(texts: list[str], hashes: int = 4) -> list[int]:
     """A number for each document of the sample; documents that share a min-hash of three-word shingles are of one
     family, so that a copied document's words count once."""
-    head = list(range(len(docs)))
+    head = list(range(len(texts)))
 
     def root(i: int) -> int:
         while head[i] != i:
@@ -219,74 +223,73 @@ def families(docs: list[list[str]], hashes: int = 4) -> list[int]:
         return i
 
     first: dict[tuple, int] = {}
-    salts = np.array([zlib.crc32(b"%d" % k) * 2 + 1 for k in range(hashes)], np.uint64)
-    for i, words in enumerate(docs):
-        grams = {*zip(words, words[1:], words[2:], strict=False)} or {tuple(words)}
-        h = np.array([zlib.crc32(" ".join(g).encode()) for g in grams], np.uint64)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    for i, t in enumerate(texts):
+        w = np.array([zlib.crc32(x.encode()) for x in words_in(t)], np.uint64)
+        w = w if len(w) >= 3 else np.append(w, np.full(3 - len(w), 1 << 40, np.uint64))
+        h = mix64(mix64(mix64(w[:-2] * step) + w[1:-1] * step) + w[2:] * step)
         for k in range(hashes):
-            low = (k, int(mix64((h + np.uint64(k + 1)) * salts[k]).min()))
+            low = (k, int(mix64(h ^ np.uint64(k + 1)).min()))
             head[root(i)] = root(first.setdefault(low, i))
-    return [root(i) for i in range(len(docs))]
+    return [root(i) for i in range(len(texts))]
 
 
-def mine(docs: list[set[str]], toxic: list[int], family: list[int]) -> Lexicon:
+def mine(texts: list[str], toxic: list[int], family: list[int]) -> Lexicon:
     """Words and stems that toxic documents hold and clean ones don't, by families of copies.
 
     A term must pass a likelihood-ratio test (:data:`LEAST_TEST`).  A stem stands for at least three words, is grown
-    while it keeps its support, and replaces the words it covers."""
-    of: dict[str, list[str]] = {}
-
-    def terms(word: str) -> list[str]:
-        if word not in of:
-            of[word] = [word + "$", *(word[:n] for n in range(STEM[0], min(STEM[1], len(word)) + 1))]
-        return of[word]
-
-    groups: dict[tuple[int, int], set[str]] = defaultdict(set)
-    for d, y, f in zip(docs, toxic, family, strict=True):
-        groups[y, f] |= d
-    bad = [g for (y, _), g in groups.items() if y]
-    fine = [g for (y, _), g in groups.items() if not y]
-    share = len(bad) / max(1, len(groups))
-    n_tox, n_clean = Counter(), Counter()
-    for doc in bad:
-        n_tox.update({t for w in doc for t in terms(w)})
-    often = {t for t, n in n_tox.items() if n >= 3}
-    kept: dict[str, list[str]] = {}
-    for doc in fine:
-        here: set[str] = set()
-        for w in doc:
-            if w not in kept:
-                kept[w] = [t for t in terms(w) if t in often]
-            here.update(kept[w])
-        n_clean.update(here)
-    a, b = len(bad) + 1, len(fine) + 1
-    odds = {t: math.log((n_tox[t] + 0.5) / a) - math.log((n_clean[t] + 0.5) / b) for t in often}
-    test = lambda t: 2 * n_tox[t] * math.log(n_tox[t] / ((n_tox[t] + n_clean[t]) * share))
-    good = {t for t, x in odds.items() if x >= LEAST_ODDS and n_clean[t] <= 0.02 * n_tox[t] and test(t) >= LEAST_TEST}
-    kin = defaultdict(set)
-    for doc in bad:
-        for w in doc:
-            for t in terms(w):
-                if t in good:
-                    kin[t].add(w)
+    while it keeps its support, and replaces the words it covers.  Only the words of toxic documents are held; clean
+    ones are read past."""
+    groups: dict[tuple[int, int], list[str]] = defaultdict(list)
+    for t, y, f in zip(texts, toxic, family, strict=True):
+        groups[y, f].append(t)
+    vocabulary: dict[str, int] = {}
+    bad = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for t in g for w in words_in(t)] or [0]) for (y, _), g in groups.items() if y]
+    n_bad, n_fine = len(bad), len(groups) - len(bad)
+    often: dict[str, int] = {}
+    kin: dict[str, int] = {}
+    for size in (0, *range(STEM[0], STEM[1] + 1)):  # whole words, then each length of stem; one table at a time
+        number: dict[str, int] = {}
+        term = np.array([number.setdefault(w[:size] if size else w, len(number)) if len(w) >= size else -1 for w in vocabulary], np.int32)
+        count = np.zeros(len(number), np.int64)
+        for doc in bad if len(number) else ():
+            here = np.unique(term[doc])
+            count[here[here >= 0]] += 1
+        forms = np.bincount(term[term >= 0], minlength=len(number))
+        for t, k in number.items():
+            if count[k] >= 3:
+                t = t if size else t + "$"
+                often[t], kin[t] = int(count[k]), int(forms[k])
+    n_clean: dict[str, int] = dict.fromkeys(often, 0)
+    for (y, _), g in groups.items():
+        if not y:
+            words = {w for t in g for w in words_in(t)}
+            for t in {t for w in words for t in (w + "$", *(w[:n] for n in range(STEM[0], min(STEM[1], len(w)) + 1))) if t in often}:
+                n_clean[t] += 1
+    share = n_bad / max(1, len(groups))
+    odds: dict[str, float] = {}
+    for t, n in often.items():
+        odd = math.log((n + 0.5) / (n_bad + 1)) - math.log((n_clean[t] + 0.5) / (n_fine + 1))
+        test = 2 * n * math.log(n / ((n + n_clean[t]) * share))
+        if odd >= LEAST_ODDS and n_clean[t] <= 0.02 * n and test >= LEAST_TEST:
+            odds[t] = odd
     stems: dict[str, float] = {}
-    for t in sorted((t for t in good if not t.endswith("$")), key=lambda t: (len(t), t)):
-        if len(kin[t]) < 3 or any(t.startswith(s) for s in stems):
+    for t in sorted((t for t in odds if not t.endswith("$")), key=lambda t: (len(t), t)):
+        if kin[t] < 3 or any(t.startswith(s) for s in stems):
             continue
         grown = t
-        while nexts := [u for u in good if len(u) == len(grown) + 1 and u.startswith(grown) and not u.endswith("$") and n_tox[u] >= 0.95 * n_tox[t]]:
+        while nexts := [u for u in odds if len(u) == len(grown) + 1 and u.startswith(grown) and not u.endswith("$") and often[u] >= 0.95 * often[t]]:
             grown = nexts[0]
         stems[grown] = odds[grown]
-    words = {t[:-1]: odds[t] for t in good if t.endswith("$") and len(t) > 3 and not any(t.startswith(s) for s in stems)}
-    return Lexicon(words, stems)
+    found = {t[:-1]: odds[t] for t in odds if t.endswith("$") and len(t) > 3 and not any(t.startswith(s) for s in stems)}
+    return Lexicon(found, stems)
 
 
 def fit(texts: list[str], toxic: list[int], pull: float = 2.0) -> Model:
     """Mine the lexicon, then Newton's method on the logit with a ridge about the prior."""
     if not texts:
         return Model(Lexicon({}, {}))
-    words = [[w for c in clauses(t.lower()) for w in c] for t in texts]
-    lexicon = mine([set(w) for w in words], toxic, families(words))
+    lexicon = mine(texts, toxic, families(texts))
     prior = np.append(PRIOR, PRIOR_BASE)
     x = np.log1p(np.array([matches(t, lexicon) for t in texts]))
     x = np.hstack([x, np.ones((len(x), 1))])
