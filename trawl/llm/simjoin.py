@@ -35,6 +35,7 @@ from trawl.llm.counting import answers_of, blocks, reclaim, texts_of, totals, wi
 KEY_BITS = 48  # of the keys that are counted; sets hold whole 64-bit hashes
 MOST_MATCHES = 6
 ROUNDS = 3
+LEADERS = 8
 VERIFY_COST = 0.1  # of a token of a candidate's set, against a posting
 
 
@@ -192,7 +193,10 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3
     # An id of several rows takes the smallest of their components; without such ids this changes nothing.
     if not by_id.where("rows > 1").isEmpty():
         out = out.drop("c").join(by_id.select("id", "c"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    out = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "joined")
+    drop_tables(rows, sets, posted)
+    reclaim(spark)
+    return out
 
 
 def _batch(**cols) -> pa.RecordBatch:
@@ -218,14 +222,17 @@ def _can_meet(a: str, b: str, percent: int) -> Column:
 
 
 def _stars(posted: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each document the posting mate that leads most of its tokens; leaders change with the turn."""
+    """A few posting mates of another component for each document: first the one that leads most of its tokens, by
+    least id; in later turns LEADERS of those that lead one of its tokens by a hash of their own for each token."""
     of_token = Window.partitionBy("token")
-    rank = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("order"), "rep", "n", "place", "alone", "comp")
+    order = F.xxhash64("rep", "token", F.lit(turn)) if turn else F.col("rep")
+    rank = F.struct(order.alias("order"), "rep", "n", "place", "alone", "comp")
     led = posted.withColumn("lead", F.min(rank).over(of_token)).where(F.col("lead.comp") != F.col("comp"))
     led = led.where(_can_meet("{}", "lead.{}", percent))
     votes = led.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x"))
-    return best.select("a", "x.b")
+    # A document's list is no longer than its prefix.
+    best = votes.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("votes", F.xxhash64("b", F.lit(turn)).alias("h"), "b")), asc=False).alias("x"))
+    return best.select("a", F.explode(F.slice("x", 1, LEADERS if turn else 1)).alias("x")).select("a", "x.b")
 
 
 def _candidates(posted: DataFrame, percent: int) -> DataFrame:
