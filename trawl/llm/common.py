@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from trawl.sources.tables import shared_folder
+
 #: The ten-operator contract's word: everything but space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one of our own only
-    where the session has none (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "trawl-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/trawl-{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/trawl-{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -46,10 +38,6 @@ def drop_tables(*frames: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def scan_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ---------------------------------------------------------------------------------------------------------
 # Vectorised tokenisation.  Texts become one UTF-8 buffer; words are runs of bytes outside " \t\n\v\f\r",
 # which is the same as the contract's word on code points because those six are single bytes.

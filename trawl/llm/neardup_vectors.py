@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import written
@@ -145,13 +145,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
     reps = written(known.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vectors")
     axes = spark.sparkContext.broadcast(principal_axes(reps))
     cut = make_blocks(reps, axes)
-    numbered = cut.select("d", F.col("low")[0].alias("y"), F.col("ids")[0].alias("first")).orderBy("d", "y", "first").collect()
-    spans: dict[int, list] = {}
-    for r in numbered:
-        spans.setdefault(r.d, []).append((r.first,))
-    at = {(d, x[0]): k for d, xs in spans.items() for k, x in enumerate(xs)}
-    places = spark.createDataFrame([(d, first, k, -(-len(spans[d]) // GROUP)) for (d, first), k in at.items()] or [(-1, -1, 0, 1)], "d int, first long, block int, groups int")
-    cut = cut.withColumn("first", F.col("ids")[0]).join(F.broadcast(places), ["d", "first"])
+    cut = cut.withColumn("first", F.col("ids")[0])
+    of_length = Window.partitionBy("d")  # a row for each TILE vectors
+    places = cut.select("d", "first", F.col("low")[0].alias("y")).select("d", "first", (F.row_number().over(of_length.orderBy("y", "first")) - 1).alias("block"), F.ceil(F.count("*").over(of_length) / GROUP).cast("int").alias("groups"))
+    cut = cut.join(places, ["d", "first"])
     g = F.floor(F.col("block") / GROUP).cast("int")
     sent = cut.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("ga", F.least(g, "h")).withColumn("gb", F.greatest(g, "h"))
     gap = 2 - 2 * at_least
