@@ -236,16 +236,32 @@ def _stars(posted: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def _candidates(posted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share enough of their prefixes, and can still share enough in all."""
-    least = F.ceil(F.col("n") * percent / 100)
-    posted = posted.withColumn("level", F.greatest(F.lit(1), F.col("place") - (F.col("n") - least)))
-    names = ("rep", "n", "matches", "place", "alone", "level", "comp")
-    left, right = (posted.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
+    """All pairs of different components that share enough of their prefixes, and can still share enough in all.
+
+    Postings carry their document's prefix.  A pair that must be found shares a token of the shortest prefixes (l = 1),
+    so only these meet; it is emitted at the first token that it shares, once, and only if it shares as many as it
+    needs, so the join's rows are the candidates themselves."""
+    short = F.col("n") - F.ceil(F.col("n") * percent / 100)  # the prefix for l matches ends at this place plus l
+    whole = posted.groupBy("rep", "n", "matches", "comp").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("t"))
+    whole = whole.select("rep", "n", "matches", "comp", short.alias("short"), F.col("t.token").alias("tokens"), F.col("t.place").alias("places"))
+    firsts = posted.where(F.col("place") <= short + 1).select("token", "rep").join(whole, "rep")
+    names = ("rep", "n", "matches", "comp", "short", "tokens", "places")
+    left, right = (firsts.select("token", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
     need = F.least("matches_a", "matches_b")
-    met = left.join(right, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.greatest("level_a", "level_b") <= need) & _can_meet("{}_a", "{}_b", percent))
-    shared = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"), F.first(need).alias("need"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
-    most = F.col("shared") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b"))
-    return shared.where((F.col("shared") >= F.col("need")) & _enough(most, "n_a", "n_b", percent)).select("a", "b")
+
+    def prefix(side: str) -> Column:
+        end = F.col(f"short_{side}") + need
+        return F.slice(f"tokens_{side}", 1, F.size(F.filter(f"places_{side}", lambda p: p <= end)))
+
+    def rest(side: str) -> Column:
+        return F.col(f"n_{side}") - F.element_at(f"places_{side}", F.array_position(f"tokens_{side}", F.element_at("common", -1)).cast("int"))
+
+    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    met = left.join(right, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & close)
+    met = met.withColumn("common", F.array_intersect(prefix("a"), prefix("b")))
+    met = met.where((F.size("common") >= need) & (F.get("common", F.lit(0)) == F.col("token")))
+    met = met.where(_enough(F.size("common") + F.least(rest("a"), rest("b")), "n_a", "n_b", percent))
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
