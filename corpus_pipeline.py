@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 1. toxicity: documents that the grammar scores 0.5 or more go.
-2. near_duplicates: of documents whose 3-word shingles link at Jaccard 0.9, the smallest id of each component stays.
+2. near_duplicates: of documents whose 5-word shingles link at Jaccard 0.8, the smallest id of each component stays.
 3. personal_data: spans become ``<KIND>`` in the text, and n_chars follows the text.
 4. mixture: documents are kept by their calibrated rate, at most 1, so none repeats and scarce cells stay whole.
 5. tokens: ids of each whole text.
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(simjoin.join(docs), "groups")
+    groups = written(simjoin.join(docs, k=5, percent=80), "groups")
     out = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

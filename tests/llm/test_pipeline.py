@@ -29,7 +29,7 @@ def test_stages(spark, folder):
 
     left = [tuple(r) for r in kept.collect()]
     single = cp.drop_near_duplicates(spark, kept, d).cache()
-    want = groups(left)
+    want = groups(left, 80, 5)
     assert sorted(r.doc_id for r in single.collect()) == sorted({i for i, (_, c) in want.items() if i == c})
     assert single.columns == docs.columns
 

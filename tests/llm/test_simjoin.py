@@ -22,8 +22,8 @@ def shingles(text, k=3):
     return frozenset(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute(data, percent=90):
-    sets = {i: shingles(t) for i, t, *_ in data}
+def brute(data, percent=90, k=3):
+    sets = {i: shingles(t, k) for i, t, *_ in data}
     head = {i: i for i in sets}
 
     def root(i):
