@@ -22,7 +22,7 @@ def persons(spark):
 
 @pytest.fixture(scope="module")
 def articles(spark):
-    rows = [(1, "hello egg", "egg is a good docdb", 20120101, 2), (2, "hello god", "god is a good boy", 20120102, 1), (3, "hello world", "world is a good place", 20120103, 3), (4, None, None, None, 9)]
+    rows = [(1, "hello fox", "fox is a good pet", 20120101, 2), (2, "hello god", "god is a good boy", 20120102, 1), (3, "hello world", "world is a good place", 20120103, 3), (4, None, None, None, 9)]
     df = spark.createDataFrame(rows, "doc_id long, title string, content string, time int, weight int")
     return Collection(df, Catalog((FieldSpec("title"), FieldSpec("content", analyzer="CWS"), FieldSpec("time", "int"))), weight="weight")
 
@@ -51,13 +51,13 @@ def test_terms_and_weight(articles):
     assert ids(collect.sort_weight(articles, q.term("content", "is good", "CWS"))) == [3, 1, 2]
     assert ids(articles.search(q.term("content", "is good", "CWS") & q.number("time", 20120102))) == [2]
     assert ids(articles.search(q.term("title", "hello god"))) == [2]
-    assert ids(articles.search(q.term("content", "$$$egg boy", "CWS"))) == [1, 2]
+    assert ids(articles.search(q.term("content", "$$$fox boy", "CWS"))) == [1, 2]
 
 
 def test_nulls_never_match_but_minus_keeps(articles):
     assert ids(articles.search(q.between("time", "all"))) == [1, 2, 3]
-    every = q.between("time", "all") | q.Minus(q.term("title", "hello egg"), q.term("title", "x"))
-    assert ids(articles.search(q.minus(every, q.term("content", "egg", "CWS")))) == [2, 3]
+    every = q.between("time", "all") | q.Minus(q.term("title", "hello fox"), q.term("title", "x"))
+    assert ids(articles.search(q.minus(every, q.term("content", "fox", "CWS")))) == [2, 3]
 
 
 def test_missing_order_keys_come_last(articles):
