@@ -126,7 +126,10 @@ def totals(packed: DataFrame, keys_of: Callable, kinds: dict[int, int], keys_hin
         return pd.DataFrame(rows, columns=["block", "kind", "bucket", "n", "answer"])
 
     asked = packed.select("block", "ids", "flags", "data").mapInArrow(ask, "block long, kind int, bucket int, keys binary, counts binary")
-    return written(asked.groupBy("kind", "bucket").applyInPandas(answer, "block long, kind int, bucket int, n long, answer binary"), "totals")
+    out = written(asked.groupBy("kind", "bucket").applyInPandas(answer, "block long, kind int, bucket int, n long, answer binary"), "totals")
+    del asked
+    reclaim(packed.sparkSession)
+    return out
 
 
 def with_totals(packed: DataFrame, answers: DataFrame) -> DataFrame:
