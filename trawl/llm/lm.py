@@ -2,15 +2,19 @@
 
 Maximum-likelihood estimates of orders 1 to n and a uniform one are mixed; the mixture's weights depend on how often
 the context occurred (a bucket for each power of two) and are learned by expectation-maximisation on held-out counts:
-those of a fifth of the training documents, each token judged by the counts without its own occurrence.
+an eighth of the training documents is taken out of all counts, whole documents at a time, and judged by what is left,
+so nothing that a document says helps to predict itself.  Texts are then scored with the counts of all training
+documents.
 
 Counts of all n-grams of all documents come from :mod:`trawl.llm.counting`; nothing is sampled, capped or broadcast
-but the weights.  The evidence for EM is a histogram over (bucket, the estimates rounded to half bits), whose size is
+but the weights.  The evidence for EM is a histogram over (bucket, the estimates rounded to whole bits), whose size is
 bounded by the rounding, summed over all blocks before it reaches the driver.
 
-A text is its lower-cased words and one end token; null and empty texts are the end alone.  Before the first word
-stands a start context, counted once for each training document.  Repeated rows count as often as they occur; without
-any training document all estimates but the uniform are zero.
+A text is its lower-cased words and one end token; null and empty texts are the end alone, and very long ones are
+read whole, in slices.  Before the first word stands a start context, counted once for each training document.
+Repeated rows count as often as they occur, rows that repeat an id as documents of their own (all on the same side of
+a flag that depends on the id); a null id is an id like any other.  Without any training document all estimates but
+the uniform are zero.  An empty table gives no rows.  Other columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ from pyspark.sql import functions as F
 from trawl.llm.common import mix64, words_in_slices
 from trawl.llm.counting import COUNTED, SUM, answers_of, blocks, texts_of, totals, with_totals
 
-ORDER = 2
+ORDER = 3
 UNIGRAM_BITS, NGRAM_BITS = 60, 52
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 BUCKETS = 24
-STEP = 2.0  # parts of a bit in EM's histogram
+STEP = 1.0  # parts of a bit in EM's histogram
 NONE = -9999
+HELD_OUT = 100  # kinds of counts from here on: those of the documents that weigh
 ROUNDS = 60
 
 
@@ -60,21 +65,19 @@ class Tokens:
             self.keys[n] = h >> np.uint64(64 - NGRAM_BITS)
 
 
-def counts_of(t: Tokens, row: dict, n: int) -> np.ndarray:
+def counts_of(keys: np.ndarray, row: dict, kind: int) -> np.ndarray:
     """The corpus count of each token's n-gram."""
-    keys, where = np.unique(t.keys[n], return_inverse=True)
-    return answers_of(row, n)[where] if len(keys) else np.empty(0, np.int64)
+    distinct, where = np.unique(keys, return_inverse=True)
+    return answers_of(row, kind)[where] if len(distinct) else np.empty(0, np.int64)
 
 
-def estimates(t: Tokens, row: dict, order: int, n_docs: int, n_tokens: int, less: int = 0) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(bucket, estimates of order 1 to n, unigram counts) of each token; ``less`` is taken off all counts."""
-    counts = [counts_of(t, row, n) for n in range(1, order + 1)]
-    first = t.place == 0
-    out, context = [np.maximum(counts[0] - less, 0) / max(1, n_tokens - less)], np.full(len(t.token), n_tokens)
-    for n in range(2, order + 1):
-        context = np.where(first, n_docs, np.concatenate([[0], counts[n - 2][:-1]]) if len(first) else counts[n - 2])
-        out.append(np.maximum(counts[n - 1] - less, 0) / np.maximum(1, context - less))
-    return bucket_of(context - less), out, counts[0]
+def estimates(first: np.ndarray, counts: list[np.ndarray], n_docs: int, n_tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bucket, estimates of order 1 to n) of each token from its n-grams' counts; ``first`` marks documents' starts."""
+    out, context = [counts[0] / max(1, n_tokens)], np.full(len(first), n_tokens)
+    for n in range(2, len(counts) + 1):
+        context = np.where(first, n_docs, np.concatenate([[0], counts[n - 2][:-1]])) if len(first) else counts[n - 2]
+        out.append(counts[n - 1] / np.maximum(1, context))
+    return bucket_of(context), out
 
 
 class Mixture:
@@ -113,10 +116,6 @@ def learn(histogram: list[tuple], order: int, uniform: float) -> Mixture:
     return Mixture(weights, uniform)
 
 
-def fold(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
-
-
 #: Flags of a document: training, training and held out for the weights, not for training.
 TRAIN, WEIGH, TEST = 0, 1, 2
 
@@ -124,21 +123,26 @@ TRAIN, WEIGH, TEST = 0, 1, 2
 def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
     """A row for each document: id, flag, n_tokens, n_known, train_tokens, base_score, score."""
     packed = blocks(docs, text, id_col, flag)
-    about = packed.agg(F.sum("size"), F.sum(F.size(F.filter("flags", lambda x: x != TEST)))).first()
-    n_docs = int(about[1] or 0)
+    of = lambda test: F.sum(F.size(F.filter("flags", test)))
+    about = packed.agg(F.sum("size"), of(lambda x: x != TEST), of(lambda x: x == WEIGH)).first()
+    n_docs, n_weigh = int(about[1] or 0), int(about[2] or 0)
+    orders = range(1, order + 1)
 
     def keys_of(texts: list[bytes], flags: np.ndarray) -> dict:
         t = Tokens(texts, order)
-        train = np.repeat(flags != TEST, t.sizes)
+        train, weigh = np.repeat(flags != TEST, t.sizes), np.repeat(flags == WEIGH, t.sizes)
         out = {}
         for n, k in t.keys.items():
             keys, where = np.unique(k, return_inverse=True)
             out[n] = keys, np.bincount(where, train, len(keys)).astype(np.int64)
+            out[HELD_OUT + n] = np.unique(k[weigh], return_counts=True)
         return out
 
-    answers = totals(packed, keys_of, {n: UNIGRAM_BITS if n == 1 else NGRAM_BITS for n in range(1, order + 1)}, int((about[0] or 0) // 6))
-    size = {r.block: int(r.n) for r in answers.where("block < 0 and kind = 1").groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    n_tokens, n_words = size.get(SUM, 0), size.get(COUNTED, 0)
+    bits = {n: UNIGRAM_BITS if n == 1 else NGRAM_BITS for n in orders}
+    answers = totals(packed, keys_of, bits | {HELD_OUT + n: b for n, b in bits.items()}, int((about[0] or 0) // 6))
+    size = {(r.block, r.kind): int(r.n) for r in answers.where("block < 0").groupBy("block", "kind").agg(F.sum("n").alias("n")).collect()}
+    n_tokens, n_words = size.get((SUM, 1), 0), size.get((COUNTED, 1), 0)
+    n_held = size.get((SUM, HELD_OUT + 1), 0)
     uniform = 1.0 / (n_words + 1)
     whole = with_totals(packed, answers)
 
@@ -147,10 +151,11 @@ def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_
             for row in batch.to_pylist():
                 t = Tokens(texts_of(row["data"], len(row["ids"])), order)
                 on = np.repeat(np.array(row["flags"]) == WEIGH, t.sizes)
-                bucket, parts, _ = estimates(t, row, order, n_docs, n_tokens, less=1)
+                counts = [counts_of(t.keys[n], row, n)[on] - counts_of(t.keys[n][on], row, HELD_OUT + n) for n in orders]
+                bucket, parts = estimates(t.place[on] == 0, counts, n_docs - n_weigh, n_tokens - n_held)
                 with np.errstate(divide="ignore"):
-                    logs = [np.where(p[on] > 0, np.round(np.log2(p[on]) * STEP), NONE) for p in parts]
-                cells, n = np.unique(np.stack([bucket[on], *logs]).astype(np.int64), axis=1, return_counts=True)
+                    logs = [np.where(p > 0, np.round(np.log2(p) * STEP), NONE) for p in parts]
+                cells, n = np.unique(np.stack([bucket, *logs]).astype(np.int64), axis=1, return_counts=True)
                 arrays = [pa.array(x) for x in cells] + [pa.array(n.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n"])
 
@@ -163,7 +168,9 @@ def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_
         for batch in batches:
             for row in batch.to_pylist():
                 t = Tokens(texts_of(row["data"], len(row["ids"])), order)
-                bucket, parts, c = estimates(t, row, order, n_docs, n_tokens)
+                counts = [counts_of(t.keys[n], row, n) for n in orders]
+                bucket, parts = estimates(t.place == 0, counts, n_docs, n_tokens)
+                c = counts[0]
                 base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
                 add = lambda x: np.bincount(t.doc, x, len(t.sizes))  # noqa: B023, E731
                 arrays = [pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.int32()), pa.array(t.sizes.astype(np.int64)), pa.array(add(c > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(shared.value.log10(bucket, parts)))]
@@ -173,7 +180,12 @@ def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_
     return out.select(F.col("id").alias(id_col), "flag", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def flag_of(id_col: str = "doc_id") -> Column:
+    """Fold 1 is test; of the others an eighth weighs."""
+    key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    return F.when(key % 5 == 1, TEST).when(F.floor(key / 5) % 8 == 0, WEIGH).otherwise(TRAIN)
+
+
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    flag = F.when(fold() == 1, TEST).when(fold() == 0, WEIGH).otherwise(TRAIN)
-    return score(docs, flag).select("doc_id", (F.col("flag") == TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, flag_of()).select("doc_id", (F.col("flag") == TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
