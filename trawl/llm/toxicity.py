@@ -4,16 +4,20 @@ Words become symbols by a lexicon (insults and threats with weights; targets, ne
 clauses of symbols are read by transducers that mark what stands near what: a negation just before an abuse, a
 reporting verb or quotation mark earlier in the clause, a target on either side.  The transducers are small Mealy
 machines; :func:`compose` builds their product once, for the left-to-right pass, and one more machine reads each
-clause from the right.  What is scored are the marked matches of clauses, by their kinds; a threat without a target
-counts for nothing.
+clause from the right.  The machines of words weigh their arcs by the lexicon's log-odds; those of context carry marks
+and no weight, as a mark's weight is that of the match's kind.  What is scored are the marked matches of clauses, by
+their kinds; a threat without a target counts for nothing.
 
 Learned from labelled rows: words and stems that mark toxic documents, with log-odds as weights, and the weights of
 the match kinds, by ridge regression on the logit about stated prior values, so that kinds that the labels never show
-keep theirs.  The sample is bounded (:data:`MOST_TOXIC`, :data:`MOST_CLEAN`: the rows of least hash); everything else
-reads every document whole, in one pass without a shuffle.
+keep theirs.  The sample is bounded (:data:`MOST_TOXIC`, :data:`MOST_CLEAN`: the rows of least hash, of texts up to
+:data:`LONGEST` characters, so some 150 MB at the most and a few MB as a rule); everything else reads every document
+whole, in one pass without a shuffle, however long it is.
 
 Null and empty texts hold no match and get the base score.  Labels with nulls are left out; an id that is labelled
-more than once counts as toxic if any row says so.  Repeated rows are scored alike.
+more than once counts as toxic if any row says so, and of rows that repeat an id the least text is learnt from.
+Repeated rows are scored alike.  In the result, columns of the input called score or predicted are replaced; others
+are kept, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import mix64
 
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
+LONGEST = 40_000  # characters of a text that is learnt from
 STEM = (4, 8)  # shortest and longest stems tried
 LEAST_ODDS = 3.0
 LEAST_TEST = 22.0  # chi-squared with one degree; thousands of terms are tried
@@ -129,11 +134,13 @@ def kind_of(symbol: int) -> int | None:
 class Lexicon:
     """Words and stems with log-odds; the longest stem that a word begins with applies if the word has no entry."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words = dict.fromkeys(INSULTS, SEED_ODDS) | words
+    def __init__(self, words: dict[str, float], stems: dict[str, float], seeded: bool = True):
+        """``seeded``: with the lists of insults and threats above, or with what labels taught alone."""
+        self.words = (dict.fromkeys(INSULTS, SEED_ODDS) if seeded else {}) | words
         self.stems = stems
+        self.threats = THREATS if seeded else []
         self.sizes = sorted({len(s) for s in stems}, reverse=True)
-        self.fixed = {w: x for ws, x in ((THREATS, T), (TARGETS, Y), (NEGATIONS, N), (REPORTS, R)) for w in ws}
+        self.fixed = {w: x for ws, x in ((self.threats, T), (TARGETS, Y), (NEGATIONS, N), (REPORTS, R)) for w in ws}
         self._cue = None
 
     def insult(self, word: str) -> float:
@@ -157,7 +164,7 @@ class Lexicon:
             import ahocorasick
 
             self._cue = ahocorasick.Automaton()
-            for s in {*self.words, *self.stems, *THREATS}:
+            for s in {*self.words, *self.stems, *self.threats}:
                 self._cue.add_word(s, 1)
             self._cue.make_automaton()
         return self._cue
@@ -234,7 +241,7 @@ def families(texts: list[str], hashes: int = 4) -> list[int]:
     return [root(i) for i in range(len(texts))]
 
 
-def mine(texts: list[str], toxic: list[int], family: list[int]) -> Lexicon:
+def mine(texts: list[str], toxic: list[int], family: list[int], seeded: bool = True) -> Lexicon:
     """Words and stems that toxic documents hold and clean ones don't, by families of copies.
 
     A term must pass a likelihood-ratio test (:data:`LEAST_TEST`).  A stem stands for at least three words, is grown
@@ -282,14 +289,14 @@ def mine(texts: list[str], toxic: list[int], family: list[int]) -> Lexicon:
             grown = nexts[0]
         stems[grown] = odds[grown]
     found = {t[:-1]: odds[t] for t in odds if t.endswith("$") and len(t) > 3 and not any(t.startswith(s) for s in stems)}
-    return Lexicon(found, stems)
+    return Lexicon(found, stems, seeded)
 
 
-def fit(texts: list[str], toxic: list[int], pull: float = 2.0) -> Model:
+def fit(texts: list[str], toxic: list[int], pull: float = 2.0, seeded: bool = True) -> Model:
     """Mine the lexicon, then Newton's method on the logit with a ridge about the prior."""
     if not texts:
-        return Model(Lexicon({}, {}))
-    lexicon = mine(texts, toxic, families(texts))
+        return Model(Lexicon({}, {}, seeded))
+    lexicon = mine(texts, toxic, families(texts), seeded)
     prior = np.append(PRIOR, PRIOR_BASE)
     x = np.log1p(np.array([matches(t, lexicon) for t in texts]))
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -309,15 +316,16 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, seeded: bool = True) -> Model:
     """From labelled rows outside the held-out fold.  Sample ids are picked from the labels alone, so the join sends
     at most the bounded sample's ids to the scan of the documents."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(10))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_TOXIC).unionAll(known.where("toxic = 0").orderBy(order, "doc_id").limit(MOST_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
+    return fit([r.text or "" for r in rows], [r.toxic for r in rows], seeded=seeded)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
