@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -36,13 +37,18 @@ def test_memory_is_bounded(library, monkeypatch):
         assert enc.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
 
 
-def test_table(spark, library, tmp_path):
-    data = rows()
+def test_query(spark, library, tmp_path):
+    """The query's digests against the library, on nulls, empty and very long texts, repeated and null ids."""
+    data = [*rows(), (None, "nobody's", "en", "s", 1), (5, "another text", "en", "s", 1), (7, "long word " * 100_000, "en", "s", 1)]
     spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = op9_query(spark, str(tmp_path)).collect()
-    assert len(got) == len(data)
-    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in data}
-    assert all(r.n_tokens == want[r.doc_id] for r in got)
+    got = op9_query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for i, t, *_ in data:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
 def test_empty_table_and_clashing_names(spark):

@@ -1,9 +1,14 @@
 import hashlib
 import io
+import math
+import re
 import tarfile
 import zlib
+from collections import Counter
 
+import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from tests.llm.corpus import SCHEMA, rows
 from trawl.llm import media
@@ -40,16 +45,33 @@ def test_store_and_read_back(spark, tmp_path, monkeypatch):
                 assert media.samples_of(tar.extractfile(m).read()).tobytes() == got[m.name.removesuffix(".png")]
 
 
+def feature(data):
+    """Mean, deviation, entropy and number of values of bytes, in plain Python."""
+    n, counts = len(data), Counter(data)
+    mean = sum(data) / n
+    std = math.sqrt(sum((x - mean) ** 2 * c for x, c in counts.items()) / n)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return [64, n // 64, 8, mean, std, entropy, len(counts)]
+
+
 def test_query(spark, tmp_path):
-    data = rows()
-    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    data = [*rows(), (None, "nobody's", "en", "s", 1), (7, "x" * 3_000_000, "en", "s", 1), (5, "another text", "en", "s", 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for name in ("digest", "shard", "offset", "length", "payload_bytes"):
+        df = df.withColumn(name, F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
     got = media.op7_query(spark, str(tmp_path)).collect()
     assert len(got) == len(data)
-    texts = {i: (t or "").encode() for i, t, *_ in data}
+    texts = {}
+    for i, t, *_ in data:
+        texts.setdefault(i, []).append((t or "").encode())
     for r in got:
-        payload = media.padded(texts[r.doc_id])
+        text = next(t for t in texts[r.doc_id] if hashlib.sha256(media.padded(t)).hexdigest() == r.payload_sha256)
+        payload = media.padded(text)
         png = media.to_png(payload)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.n_bytes, r.payload_bytes) == (len(text), len(payload))
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest())
+        numbers = [float(x) for x in re.findall(r"[0-9.]+", r.feature)]
+        assert numbers == pytest.approx(feature(payload), abs=2e-6)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert media.op7_query(spark, f"{tmp_path}/none").collect() == []

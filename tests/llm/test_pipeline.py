@@ -1,6 +1,11 @@
 """Each stage against plain Python on its own input."""
 
+import hashlib
+
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from tests.llm.corpus import SCHEMA, rows
@@ -13,44 +18,73 @@ from trawl.llm import mixing
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
+    """The awkward corpus, a toxic document, personal data, a repeated id of two texts, and columns whose names the
+    operators use themselves."""
     d = str(tmp_path_factory.mktemp("pipe"))
     data = [*rows(), (7001, "You idiot, you are worthless scum!", "en", "s1", 1), (7002, "write to a.b@c.org or +1 988 555 2485 today", "en", "s1", 3)]
-    spark.createDataFrame(data, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    data += [(7003, "b second text of an id", "en", "s2", 1), (7003, "a first text of an id", "en", "s2", 1), (None, "no id at all", "en", "s2", 1), (None, "no id at all", "en", "s2", 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for name in EXTRA:
+        df = df.withColumn(name, F.lit("mine"))
+    df.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(7001, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d, data
 
 
+EXTRA = ("score", "predicted", "spans", "clean", "topic", "n_tokens", "rate", "copies", "residual", "component_id", "n", "rep", "doc", "ids", "toxic")
+
+
+def plain(df):
+    """Rows as tuples of the five columns; the others are as they came."""
+    out = []
+    for r in df.collect():
+        assert all(r[c] == "mine" for c in EXTRA)
+        out.append((r.doc_id, r.text, r.lang, r.source, r.n_chars))
+    return out
+
+
 def test_stages(spark, folder):
     d, data = folder
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = cp.drop_toxic(spark, docs, d).cache()
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in data if i != 7001)
+    left = plain(kept)
+    assert sorted(map(str, left)) == sorted(str(r) for r in data if r[0] != 7001)
 
-    left = [tuple(r) for r in kept.collect()]
     single = cp.drop_near_duplicates(spark, kept, d).cache()
-    want = groups(left, 80, 5)
-    assert sorted(r.doc_id for r in single.collect()) == sorted({i for i, (_, c) in want.items() if i == c})
+    want = groups([(i, t) for i, t, *_ in left if i is not None and i != 7003], 80, 5)
+    got = plain(single)
+    assert sorted(i for i, *_ in got if i is not None and i != 7003) == sorted({i for i, (_, c) in want.items() if i == c})
+    assert [t for i, t, *_ in got if i == 7003] == ["a first text of an id"] and sum(i is None for i, *_ in got) == 2
     assert single.columns == docs.columns
 
     hidden = cp.hide_personal_data(spark, single, d).cache()
-    got = {r.doc_id: r for r in hidden.collect()}
-    assert got[7002].text == "write to <EMAIL> or <PHONE> today" and got[7002].n_chars == len(got[7002].text)
-    assert all(got[r.doc_id].text == r.text for r in single.collect() if r.doc_id != 7002)
-
-    mixed = {r.doc_id for r in cp.mix_sources(spark, hidden, d).collect()}
-    rows_ = [(r.source, r.lang, topic(r.text), len(words(r.text))) for r in got.values()]
-    w, tok, _ = mixture(rows_)
-    import hashlib
+    after = plain(hidden)
+    assert hidden.columns == docs.columns and hidden.dtypes == docs.dtypes
+    swap = {"write to a.b@c.org or +1 988 555 2485 today": "write to <EMAIL> or <PHONE> today"}
+    clean = lambda r: (*r[:1], swap.get(r[1], r[1]), *r[2:4], r[4] if r[1] is None else len(swap.get(r[1], r[1])))
+    assert sorted(map(str, after)) == sorted(str(clean(r)) for r in got)
 
-    for r, cell in zip(got.values(), rows_, strict=True):
-        rate = min(1.0, round(w[cell[:3]] / tok[cell[:3]] if tok[cell[:3]] else 1.0, 6))
-        u = int(hashlib.md5(f"{mixing.SEED}{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        if abs(u - rate) > 1e-5:
-            assert (r.doc_id in mixed) == (rate >= 1 or u < rate)
+    mixed = cp.mix_sources(spark, hidden, d)
+    assert mixed.columns == docs.columns
+    cells = [(s, lang, topic(t), len(words(t))) for _, t, lang, s, _ in after]
+    w, tok, _ = mixture(cells, budget=cp.BUDGET, cap=1.0)
+    took = sorted(map(str, plain(mixed)))
+    sure, maybe = [], []
+    for r, cell in zip(after, cells, strict=True):
+        rate = round(w[cell[:3]] / tok[cell[:3]] if tok[cell[:3]] else 1.0, 6)
+        u = int(hashlib.md5(f"{mixing.SEED}{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        assert rate <= 1
+        if abs(u - rate) <= 1e-5:
+            maybe.append(str(r))
+        elif rate >= 1 or u < rate:
+            sure.append(str(r))
+    assert set(sure) <= set(took) <= set(sure) | set(maybe) and len(sure) <= len(took)
 
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     last = cp.encode_texts(spark, hidden, d).collect()
-    assert {r.doc_id for r in last} == set(got) and all(r.n_tokens == len(r.ids) for r in last)
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in after]
+    assert sorted(str((r.doc_id, list(r.ids))) for r in last) == sorted(map(str, want)) and all(r.n_tokens == len(r.ids) for r in last)
 
 
 def test_run(spark, folder):

@@ -50,3 +50,23 @@ def test_repeats_empty_and_more_shards_than_rows(spark, tmp_path):
     assert interleave(spark.createDataFrame([], SCHEMA), 40).collect() == []
     three = interleave(spark.createDataFrame(data[:3], SCHEMA), 5).collect()
     assert sorted(r.slot for r in three) == [0, 0, 0]
+
+
+def test_query(spark, tmp_path):
+    """Repeated and null ids, very long texts and clashing names; positions by the method's description."""
+    data = [*rows(), (None, "nobody's", None, None, 1), (7, "long " * 500_000, "en", "s1", 1), (5, "another text", "en", "s2", 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for name in ("shard", "slot", "size", "stratum", "b", "h", "k0", "pos"):
+        df = df.withColumn(name, F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op1_query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = sorted(got.collect(), key=lambda r: (r.shard, r.slot))
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    n = len(data)
+    assert [(r.shard, r.slot) for r in got] == [(s, k) for s in range(40) for k in range((s + 1) * n // 40 - s * n // 40)]
+    bare = df.select("doc_id", "source", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("z"))
+    hashed = bare.withColumn("h", F.xxhash64(F.lit(20240229), "doc_id", "c", "z")).collect()
+    keyed = [(-1 if r.doc_id is None else r.doc_id, r.source, r.h, r.c, r.z) for r in hashed]
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == brute(keyed, 40)
+    assert sorted((r.text_crc32, r.size) for r in got) == sorted((zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for _, t, *_ in data)

@@ -9,7 +9,9 @@ A shard is written under a name of its own attempt, and only the manifest, a tab
 visible; so a lost or repeated attempt leaves at worst a file that nothing refers to.  Shards are read through
 ``pyarrow.fs``, so the shared folder may be local to all, HDFS or an object store.
 
-Null and empty texts have no bytes and a payload of 64 zero bytes.  Equal texts have equal digests and values.
+Null and empty texts have no bytes and a payload of 64 zero bytes.  Equal texts have equal digests and values.  A very
+long text is one payload, larger than the slices that others are handled in.  Repeated rows and repeated or null ids
+each keep their row.  An empty table gives no rows.  Other columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations

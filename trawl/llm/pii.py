@@ -8,7 +8,8 @@ by gradient ascent on the exact conditional likelihood; stretches are decoded by
 length.  A decoded span is added if it passes its kind's check (digits, parts, Luhn) and overlaps no base span.
 
 All scans are linear in the text, whatever it holds.  Null and empty texts have no spans.  Offsets are code points,
-ends exclusive.  Rows keep their number; there is no shuffle.
+ends exclusive.  Rows keep their number, repeated ones too; there is no shuffle.  In the result a column of the input
+called spans is replaced; others are kept, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,11 @@ fraction), ranges are counted with map-side combining, the running sums of at mo
 range's offset, and ranks inside a range come from a window of about ``ROWS`` rows.  A source that holds a third of
 all rows is therefore spread over as many ranges as any other rows.
 
-Nulls: a null source is a stratum of its own; a null text has no bytes (size 16, CRC of nothing: 0); a null id is
-ranked like any id.  Rows that are equal in id, text and source are interchangeable.  An empty table gives no rows.
+Nulls: a null source is a stratum of its own; a null text has no bytes (size 16, CRC of nothing: 0), as an empty one; a
+null id is ranked like any id.  Only a text's size and CRC are kept, so its length doesn't matter.  Ties of the hash go
+by id, CRC and size; rows that are equal in id, text and source are interchangeable and each has a place.  An empty
+table gives no rows.  Columns of the input come along if ``keep`` names them, whatever their names, unless they are
+called like one of the result's.  At 10^10 rows a window holds some 150,000 narrow rows.
 """
 
 from __future__ import annotations
