@@ -3,46 +3,59 @@
 1. toxicity: documents that the grammar scores 0.5 or more go.
 2. near_duplicates: of documents whose 5-word shingles link at Jaccard 0.8, the smallest id of each component stays.
 3. personal_data: spans become ``<KIND>`` in the text, and n_chars follows the text.
-4. mixture: documents are kept by their calibrated rate, at most 1, so none repeats and scarce cells stay whole.
+4. mixture: documents are kept by their calibrated rate, at most 1, so none repeats; BUDGET is the share of tokens kept.
 5. tokens: ids of each whole text.
 
-All but the last return the columns of ``documents``.  A null text passes the first three unchanged, has no tokens in
-the fourth and no ids in the fifth; a null id has no links.  Rows that repeat an id within one input are one document
-to the second stage, and one row of them stays.
+All but the last return the columns of ``documents``, extra ones too, whatever their names: each stage computes beside
+a struct of the row and gives that back.  A null or empty text passes the first three unchanged, has no tokens in the
+fourth and no ids in the fifth; a null id has no links; very long texts are handled whole.  Rows that repeat an id are
+one document to the second stage: their links are joined, and the row that is least by (text, lang, source, n_chars)
+stays.  The other stages treat each row by itself, and rows of one id alike.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import bpe, mixing, pii, simjoin, toxicity
 from trawl.llm.common import written
 
 
+#: Share of the tokens that the mixture keeps; the rest is what lets its rates differ.
+BUDGET = 0.9
+
+
+def _beside(docs: DataFrame, *cols: str | Column) -> DataFrame:
+    """The rows as one struct, ``doc``, beside what a stage reads."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *cols)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.score(_beside(docs, "text"), model).where("predicted = 0").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(simjoin.join(docs, k=5, percent=80), "groups")
-    out = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out.select(docs.columns)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = _beside(docs, "doc_id", "text", "lang", "source", "n_chars").join(gone, "doc_id", "left_anti")
+    least = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("doc", F.struct("text", "lang", "source", "n_chars")).alias("doc"))
+    return kept.join(twice, "doc_id", "left_anti").select("doc").unionAll(least.select("doc")).select("doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.scan(docs, redact=True)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    out = pii.scan(_beside(docs, "text"), redact=True)
+    own = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("doc.n_chars")).alias("n_chars")}
+    return out.select(*[own.get(c, F.col(f"doc.`{c}`")) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    rows = docs.withColumn("topic", mixing.topic_of(text)).withColumn("n_tokens", mixing.tokens_of(text))
-    return mixing.mix(rows, repeat=False).where("copies > 0").select(docs.columns)
+    rows = _beside(docs, "doc_id", "source", "lang", mixing.topic_of(text).alias("topic"), mixing.tokens_of(text).alias("n_tokens"))
+    return mixing.mix(rows, repeat=False, budget=BUDGET).where("copies > 0").select("doc.*")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
