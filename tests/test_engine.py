@@ -211,3 +211,108 @@ def test_live_postings(spark):
     rows = [("f", "a", 1, 1, 1), ("f", "a", 1, 2, 0), ("f", "a", 2, 1, 1), ("f", "b", 1, 1, 0), ("f", "b", 1, 3, 1)]
     got = mutate.live_postings(spark.createDataFrame(rows, "field string, term string, doc_id long, ts int, flag int"))
     assert sorted((r.term, r.doc_id) for r in got.collect()) == [("a", 2), ("b", 1)]
+
+
+def test_custom_analyzers_cut_queries_too(spark):
+    analyzers.register("commas", lambda c: F.split(c, ","))
+    c = Collection(spark.createDataFrame([(1, "a b,c"), (2, "a,b,c")], "doc_id long, t string"), Catalog((FieldSpec("t", analyzer="commas"),)))
+    assert ids(c.search(q.term("t", "c,a b", "commas"))) == [1]
+    assert ids(c.search(q.phrase("t", "b,a", "commas"))) == [2]
+    assert ids(c.search(q.term("t", "$$$x,b", "commas"))) == [2]
+    with pytest.raises(ValueError):
+        c.search(q.term("t", "a", "unknown")).collect()
+
+
+def test_found_equals_tokens(spark):
+    """The search between borders that stands for cutting the text, on letters of many kinds."""
+    import random
+
+    r = random.Random(2)
+    alphabet = list("aAbß1² _-.,'\nÉéİıΣσς中文分词々〇") + ["the", " the ", "中文", "𠀀", "\U0001f389"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").cache()
+    c = Collection(df, Catalog((FieldSpec("t", analyzer="CWS"),)))
+    tokens = {x.doc_id: x.w for x in df.select("doc_id", analyzers.words(F.col("t")).alias("w")).collect()}
+    terms = sorted({w for x in tokens.values() for w in x or ()})
+    flags = df.select("doc_id", *[F.coalesce(c.holds(c.catalog.get("t"), [w]), F.lit(False)).alias(f"f{i}") for i, w in enumerate(terms[:150])]).collect()
+    for x in flags:
+        for i, w in enumerate(terms[:150]):
+            assert x[f"f{i}"] == (w in (tokens[x.doc_id] or ())), (w, texts[x.doc_id])
+
+
+def test_han(spark):
+    c = Collection(spark.createDataFrame([(1, "中文分词测试"), (2, "词分"), (3, "abc中def"), (4, "分 词")], "doc_id long, t string"), Catalog((FieldSpec("t", analyzer="CWS"),)))
+    assert ids(c.search(q.term("t", "分词", "CWS"))) == [1] and ids(c.search(q.term("t", "中", "CWS"))) == [3]
+    assert ids(c.search(q.phrase("t", "文分词", "CWS"))) == [1] and ids(c.search(q.term("t", "def", "CWS"))) == [3]
+    cut = analyzers.with_dictionary(["分词", "New York"])
+    got = c.df.where("doc_id = 1").select(cut(F.concat("t", F.lit(" in new york"))).alias("x")).first().x
+    assert got == ["中文", "分词", "测试", "in", "new_york"]
+
+
+def test_scores_of_branches(spark):
+    """Below an OR only branches that match give entries."""
+    c = Collection(spark.createDataFrame([(1, "aa x x x x cc"), (2, "aa bb x cc")], "doc_id long, t string"), Catalog((FieldSpec("t", analyzer="CWS"),)))
+    t = lambda x: q.term("t", x, "CWS")
+    got = {r.doc_id: r.score for r in collect.scored(c, (t("aa") & t("bb")) | t("cc")).collect()}
+    assert got == pytest.approx({1: 1.0, 2: greedy([(1, "aa"), (2, "bb"), (4, "cc")])})
+    assert {r.doc_id: r.score for r in collect.scored(c, t("cc") - t("bb")).collect()} == {1: 1.0}
+
+
+def test_repeated_patches(spark):
+    docs = spark.createDataFrame([(1, "a", 5)], "doc_id long, s string, n int")
+    twice = spark.createDataFrame([(1, "y", 1), (1, "x", 2)], docs.schema)
+    assert [tuple(r) for r in mutate.modify(docs, twice).collect()] == [(1, "y", 2)]
+    assert [tuple(r) for r in mutate.increment(docs, twice).collect()] == [(1, "axy", 8)]
+
+
+def folded(base, log):
+    """The log in order, one change at a time."""
+    docs = {i: [s, n] for i, s, n in base}
+    order = {op: k for k, op in enumerate(mutate.OPS)}
+    for i, s, n, ts, op in sorted(set(log), key=lambda x: (x[3], order[x[4]])):
+        if op == "add":
+            docs[i] = [s, n]
+        elif op == "delete":
+            docs.pop(i, None)
+        elif i in docs:
+            for k, v in enumerate((s, n)):
+                if v is not None and op == "modify":
+                    docs[i][k] = v
+                elif v is not None and docs[i][k] is not None:
+                    docs[i][k] += v
+    return {(i, *x) for i, x in docs.items()}
+
+
+def test_fold(spark):
+    import random
+
+    r = random.Random(6)
+    base = [(i, r.choice(["a", None, "b"]), r.choice([None, 1, 2])) for i in range(12)]
+    log = []
+    for ts in range(90):  # no two changes of one kind at one time, whose order is that of a hash
+        log.append((r.randrange(16), r.choice([None, "x", "y"]), r.choice([None, 3, 5]), ts // 2 if ts % 2 else ts, r.choice(mutate.OPS)))
+    log = list({(x[0], x[3], x[4]): x for x in log}.values())
+    log += log[:7]
+    schema = "doc_id long, s string, n int"
+    got = mutate.fold(spark.createDataFrame(base, schema), spark.createDataFrame(log, schema + ", ts long, op string"))
+    rows = [tuple(x) for x in got.collect()]
+    assert set(rows) == folded(base, log) and len(rows) == len(set(rows))
+
+
+def test_results(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i * 7 % 5)) for i in range(1, 11)], "doc_id long, weight int, price double")
+    a = collect.Results(df.where("doc_id <= 7"))
+    b = collect.Results(df.where("doc_id >= 6"))
+    assert ids(a.rows()) == [7, 6, 5, 4, 3, 2, 1] and a.truncated(2).total().first().n_total == 2
+    assert ids(a.minus(b).rows()) == [5, 4, 3, 2, 1] and ids(a.merged(b).rows(3)) == [10, 9, 8]
+    assert ids(a.sorted_by("weight").rows()) == [5, 2, 7, 4, 1, 6, 3] and ids(a.truncated(3).sorted_by((("price", "asc"),)).rows()) == [5, 6, 7]
+    assert a.cleaned().total().first().n_total == 0 and ids(a.overridden(b.hits).rows(1)) == [10]
+
+
+def test_limits_beyond_a_few(spark, monkeypatch):
+    monkeypatch.setattr(collect, "FEW", 3)
+    hits = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, chunk int")
+    assert ids(collect.ranked(hits, F.desc("doc_id"), n=5)) == [19, 18, 17, 16, 15]
+    got = gather(hits, F.desc("doc_id"), n=4).orderBy("rank").collect()
+    assert [(x.doc_id, x.chunk_rank) for x in got] == [(18, 1), (16, 2), (14, 3), (12, 4), (19, 1), (17, 2), (15, 3), (13, 4)]
+    assert ids(gather(hits, F.desc("doc_id"), n=4, global_order=True)) == [19, 18, 17, 16, 15, 14, 13, 12]

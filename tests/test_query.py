@@ -49,3 +49,19 @@ def test_json_round_trip():
 def test_positive_leaves_leave_out_minus():
     a, b = q.term("f", "a"), q.term("f", "b")
     assert q.positive(q.minus(a, b)) == [a] and q.leaves(q.minus(a, b)) == [a, b]
+
+
+def test_boost_and_dictionary_are_kept():
+    node = q.with_dictionary((q.boosted(q.term("a", "x", "CWS"), 7) & q.phrase("b", "y z")) - q.term("c", "plain"), "own")
+    leaves = q.leaves(node)
+    assert [(x.dictionary, x.boost) for x in leaves] == [("own", 7), ("own", 0), (None, 0)]
+    assert q.from_json(q.to_json(node)) == node
+    with pytest.raises(ValueError):
+        q.boosted(leaves[0], 256)
+
+
+def test_types_name_analyzers():
+    assert q.by_type(q.term, "a", "x", "plain") == q.term("a", "x") and q.by_type(q.phrase, "a", "x y", "CY") == q.Phrase("a", "x y", "CY")
+    assert q.by_type(q.sentence, "a", 'x "y z"', "CN") == q.sentence("a", 'x "y z"', "CN")
+    with pytest.raises(ValueError):
+        q.by_type(q.term, "a", "x", "CX")

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.analyzers import positions
+from trawl.functions.analyzers import bound
+from trawl.sources.tables import pinned
 
 LONGEST_RUN = 30
 LEAST_LENGTH = 200.0
 NO_POSITION = 65535
 
 
-def entries(tokens: Column, terms: list[str]) -> Column:
-    """(pos, term) of the query's terms in one field, by position; the first five of each term count."""
+def entries(tokens: Column, terms: list[str], most: int = 5) -> Column:
+    """(pos, term) of the query's terms in one field, by position; the first ``most`` of each term count.  The text is
+    cut once and read once."""
+    terms = list(dict.fromkeys(terms))
+    asked = F.array(*[F.lit(t) for t in terms])
+
+    def place(x: Column, i: Column) -> Column:
+        return F.when(F.array_contains(asked, x), F.struct((i + 1).cast("int").alias("pos"), x.alias("term")))
+
+    found = bound(tokens, lambda t: F.array_compact(F.transform(t, place)))
+    first = lambda t: lambda h: F.slice(F.filter(h, lambda x: x.term == t), 1, most)
+    if len(terms) == 1:
+        return F.slice(found, 1, most)
+    return bound(found, lambda h: F.array_sort(F.concat(*[first(t)(h) for t in terms])))
+
+
+def adjacent(e: Column, terms: list[str]) -> Column:
+    """Whether sorted entries hold all of k distinct terms within k adjacent positions, in any order."""
+    k = len(terms)
 
-    def of(t: str) -> Column:
-        return F.transform(positions(tokens, t), lambda p: F.struct(p.cast("int").alias("pos"), F.lit(t).alias("term")))
+    def fits(p: Column) -> Column:
+        here = lambda t: F.exists(e, lambda y: (y.term == t) & (y.pos >= p.pos) & (y.pos < p.pos + k))
+        return reduce(lambda a, b: a & b, [here(t) for t in terms])
 
-    each = [of(t) for t in dict.fromkeys(terms)]
-    return F.array_sort(F.flatten(F.array(*each)))
+    return F.exists(e, fits)
 
 
 def proximity(e: Column) -> Column:
@@ -56,7 +76,9 @@ def proximity(e: Column) -> Column:
 
 
 def normalised(hits: DataFrame, score: str = "score") -> DataFrame:
-    """``hits`` with ``score`` put on a logarithmic scale of at most 10,000 by the hits' own extremes."""
+    """``hits`` with ``score`` put on a logarithmic scale of at most 10,000 by the hits' own extremes.  They are pinned
+    in a table, so that extremes and rows come from one search."""
+    hits = pinned(hits, "scored")
     ends = hits.agg(F.max(score).alias("__hi"), F.min(score).alias("__lo"))
     s, hi, lo = F.col(score), F.col("__hi"), F.col("__lo")
     race = F.when(hi < 100, 0.3).otherwise(1.0)

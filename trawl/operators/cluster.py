@@ -57,13 +57,23 @@ def moved(before: DataFrame, after: DataFrame, field: str, table, id_col: str =
 
 
 def gather(hits: DataFrame, *order, n: int = 0, global_order: bool = False) -> DataFrame:
-    """Ranks within each chunk, at most n of each, and ``rank`` over all by (chunk, rank), or by ``order`` alone."""
-    own = hits.withColumn("chunk_rank", F.row_number().over(Window.partitionBy("chunk").orderBy(*order)).cast("int"))
+    """``chunk_rank`` within each chunk, at most n of each, and ``rank`` over all by (chunk, chunk_rank), or by ``order``
+    alone.  A chunk is no task's: hits are sorted by ranges over all chunks, and a row's rank in its chunk is its rank
+    less what lies before the chunk.  A small limit first leaves each task's n smallest of a chunk."""
+    from trawl.operators.collect import FEW, numbered
+
+    if 0 < n <= FEW:
+        hits = hits.withColumn("__own", F.row_number().over(Window.partitionBy("chunk").orderBy(*order))).where(F.col("__own") <= n).drop("__own")
+    whole = numbered(hits, F.col("chunk"), *order).withColumnRenamed("rank", "__rank")
+    counts = whole.groupBy("chunk").agg(F.min("__rank").alias("__first"), F.count("*").alias("__n"))
+    kept = F.least(F.col("__n"), F.lit(n)) if n > 0 else F.col("__n")
+    before = F.coalesce(F.sum(kept).over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("chunk", "__first", before.alias("__before"))  # a row for each chunk
+    own = whole.join(counts, "chunk").withColumn("chunk_rank", F.col("__rank") - F.col("__first") + 1)
     if n > 0:
         own = own.where(F.col("chunk_rank") <= n)
-    from trawl.operators.collect import numbered
-
-    return numbered(own, *order) if global_order else numbered(own, F.col("chunk"), F.col("chunk_rank"))
+    own = own.withColumn("rank", F.col("__before") + F.col("chunk_rank")).drop("__rank", "__first", "__before")
+    return numbered(own.drop("rank"), *order) if global_order else own
 
 
 def histogram(docs: DataFrame, field: str, most: int) -> DataFrame:
@@ -74,5 +84,12 @@ def histogram(docs: DataFrame, field: str, most: int) -> DataFrame:
 
 
 def split(docs: DataFrame, field: str, table, path: str) -> None:
-    """Write the documents by chunk."""
+    """Write the documents by chunk, each chunk's in up to 16 files."""
     route(docs, field, table).repartition("chunk", F.pmod(F.xxhash64(field), F.lit(16))).write.partitionBy("chunk").parquet(path)
+
+
+def remove(chunks: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents of a clustered table without the (id, chunk) targets; a target with a null chunk means all chunks."""
+    own = targets.where("chunk is not null").select(id_col, "chunk").distinct()
+    every = targets.where("chunk is null").select(id_col).distinct()
+    return chunks.join(own, [id_col, "chunk"], "left_anti").join(every, id_col, "left_anti")

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import analyzers
-from trawl.functions.scoring import entries, normalised, proximity
+from trawl.functions.scoring import normalised
 from trawl.operators import query as q
 from trawl.operators.index import Collection
 from trawl.sources.tables import pinned
 
+#: Up to so many rows a limit is met by each task's smallest; beyond, by ranges.
+FEW = 50_000
+
 
 def newest(hits: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
     """The n hits of largest id; 0 keeps all."""
@@ -20,35 +23,40 @@ def newest(hits: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
 
 
 def ranked(hits: DataFrame, *order: Column, n: int = 0) -> DataFrame:
-    """``hits`` with ``rank`` from 1 by ``order``.  The hits are first sorted in parallel; with a limit only the n
-    smallest of each task meet, and only they are numbered."""
+    """``hits`` with ``rank`` (long, from 1) by ``order``.  With a small limit only the n smallest of each task meet, and
+    only they are numbered; otherwise the hits are sorted in parallel."""
+    if n > FEW:
+        return numbered(hits, *order).where(F.col("rank") <= n)
     if n > 0:
         top = hits.orderBy(*order).limit(n)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return numbered(hits, *order)
 
 
 def numbered(hits: DataFrame, *order: Column) -> DataFrame:
-    """Ranks of all rows without one task that holds them: sort by ranges, count each, add what lies before.  The
-    sorted rows are pinned in a table, as a second run of the sort might cut its ranges elsewhere."""
+    """Ranks of all rows without one task that holds them: sort by ranges, count each, add what lies before.
+
+    Hits are pinned in a table, so that the search runs once and not for the sort's sampling too; so are the sorted
+    rows, as a second run of the sort might cut its ranges elsewhere."""
+    hits = pinned(hits, "hits")
     ordered = hits.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     ordered = pinned(ordered.withColumn("__at", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)), "sorted")
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ordered.join(before, "__part").withColumn("rank", (F.col("__before") + F.col("__at") + 1).cast("int")).drop("__part", "__at", "__before")
+    return ordered.join(before, "__part").withColumn("rank", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
-def sort_default(c: Collection, node: q.Node, n: int = 0) -> DataFrame:
-    """Newest first."""
-    return ranked(c.search(node), F.desc(c.id_col), n=n)
+def sort_default(c: Collection, node: q.Node, n: int = 0, cols: tuple[str, ...] | None = None) -> DataFrame:
+    """Newest first.  ``cols``, here and below: what to carry besides the id and the keys (None: whole documents)."""
+    return ranked(_carry(c, node, cols), F.desc(c.id_col), n=n)
 
 
-def sort_weight(c: Collection, node: q.Node, n: int = 0, mode: str = "recent") -> DataFrame:
+def sort_weight(c: Collection, node: q.Node, n: int = 0, mode: str = "recent", cols: tuple[str, ...] | None = None) -> DataFrame:
     """By the documents' weight, largest first."""
-    return _limited(c, c.search(node), n, mode, F.desc(c.weight), F.desc(c.id_col))
+    return _limited(c, _carry(c, node, cols, c.weight), n, mode, F.desc(c.weight), F.desc(c.id_col))
 
 
-def order_by(c: Collection, node: q.Node, *keys: tuple[str, str], n: int = 0, mode: str = "recent") -> DataFrame:
+def order_by(c: Collection, node: q.Node, *keys: tuple[str, str], n: int = 0, mode: str = "recent", cols: tuple[str, ...] | None = None) -> DataFrame:
     """By numeric fields, (name, 'asc' or 'desc'), the first weighing most; missing values last; ties newest first.
 
     mode 'recent' takes the newest n hits and then sorts them; 'global' sorts all and takes the first n."""
@@ -59,7 +67,12 @@ def order_by(c: Collection, node: q.Node, *keys: tuple[str, str], n: int = 0, mo
         if way not in ("asc", "desc"):
             raise ValueError(f"cannot order {way}")
     order = [F.col(k).asc_nulls_last() if way == "asc" else F.col(k).desc_nulls_last() for k, way in keys]
-    return _limited(c, c.search(node), n, mode, *order, F.desc(c.id_col))
+    return _limited(c, _carry(c, node, cols, *[k for k, _ in keys]), n, mode, *order, F.desc(c.id_col))
+
+
+def _carry(c: Collection, node: q.Node, cols: tuple[str, ...] | None, *keys: str) -> DataFrame:
+    hits = c.search(node)
+    return hits if cols is None else hits.select(*dict.fromkeys([c.id_col, *keys, *cols]))
 
 
 def _limited(c: Collection, hits: DataFrame, n: int, mode: str, *order: Column) -> DataFrame:
@@ -130,41 +143,75 @@ def marker(cursor: Cursor, total: int) -> str:
     return FIRST if cursor.offset < 0 else LAST if cursor.offset >= total else WITHIN
 
 
-def key_positions(node: q.Node, field: str) -> list[str]:
-    """The query's terms of one field, for highlighting."""
-    out: list[str] = []
+def field_keys(node: q.Node) -> list[tuple[str, str]]:
+    """(field, key) of all text leaves in their order, those right of a MINUS too; each once."""
+    out: list[tuple[str, str]] = []
     for leaf in q.leaves(node):
-        if leaf.field == field and isinstance(leaf, q.Term | q.Phrase):
-            out += analyzers.terms(leaf.text, leaf.analyzer) if leaf.analyzer else [leaf.text]
+        if isinstance(leaf, q.Term | q.Phrase):
+            keys = analyzers.terms(leaf.text, leaf.analyzer, leaf.dictionary) if leaf.analyzer else [leaf.text]
+            out += [(leaf.field, k) for k in keys]
     return list(dict.fromkeys(out))
 
 
+def key_positions(node: q.Node, field: str) -> list[str]:
+    """The query's terms of one field, for highlighting."""
+    return [k for f, k in field_keys(node) if f == field]
+
+
 def scored(c: Collection, node: q.Node, n: int = 0) -> DataFrame:
-    """Hits with the raw proximity ``score``: the sum over fields.  Text leaves give their terms' positions; an exact,
-    numeric or range leaf stands at position 1, so such a field adds 1."""
-    hits = newest(c.search(node), n, c.id_col)
-    by_field: dict[str, list[q.Node]] = {}
-    for leaf in q.positive(node):
-        by_field.setdefault(leaf.field, []).append(leaf)
-    total, made = F.lit(0.0), []
-    for name, leaves in by_field.items():
-        spec = c.catalog.get(name)
-        if spec is None:
-            continue
-        if spec.analyzer:
-            terms = [t for x in leaves for t in (analyzers.terms(x.text, x.analyzer) if x.analyzer else [x.text])]
-            # A column of its own, so that the fold reads entries and doesn't cut the text again at each step.
-            hits = hits.withColumn(f"__{name}", entries(c.tokens(name), terms))
-            total = total + proximity(F.col(f"__{name}"))
-            made.append(f"__{name}")
-        else:
-            total = total + F.when(c.matches(leaves[0]) if len(leaves) == 1 else F.greatest(*[c.matches(x) for x in leaves]), 1.0).otherwise(0.0)
-    return hits.withColumn("score", total).drop(*made)
-
-
-def sort_score(c: Collection, node: q.Node, n: int = 0) -> DataFrame:
-    """The newest n hits by normalised score."""
-    return ranked(normalised(scored(c, node, n)), F.desc("score"), F.desc(c.id_col))
+    """Hits with the raw proximity ``score``."""
+    return newest(c.search(node), n, c.id_col).withColumn("score", c.score(node))
+
+
+def sort_score(c: Collection, node: q.Node, n: int = 0, *cols: str) -> DataFrame:
+    """The newest n hits (0: all) by normalised score, largest first, ties newest first: id, score, ``cols``, rank."""
+    hits = scored(c, node, n).select(c.id_col, "score", *cols)
+    return ranked(normalised(hits), F.desc("score"), F.desc(c.id_col), n=n)
+
+
+@dataclass(frozen=True)
+class Results:
+    """A hit list in the making: which hits, how many there were, and how they shall be sorted.
+
+    Changes give new lists; an order is applied, or applied anew, by :meth:`rows`.  ``order`` is 'newest', 'weight',
+    'score' (the hits need such a column) or a tuple of (field, 'asc' or 'desc')."""
+
+    hits: DataFrame
+    order: str | tuple = "newest"
+    id_col: str = "doc_id"
+    weight: str = "weight"
+    n: int = 0
+
+    def total(self) -> DataFrame:
+        """One row: n_total, the size of the list as it is now."""
+        return self.hits.agg(F.count("*").alias("n_total"))
+
+    def sorted_by(self, order: str | tuple) -> Results:
+        return replace(self, order=order)
+
+    def truncated(self, n: int) -> Results:
+        """Its first n rows in the present order."""
+        return replace(self, hits=self.rows(n).drop("rank"))
+
+    def overridden(self, hits: DataFrame) -> Results:
+        return replace(self, hits=hits)
+
+    def cleaned(self) -> Results:
+        return replace(self, hits=self.hits.limit(0))
+
+    def minus(self, other: Results) -> Results:
+        """Hits that the other list lacks."""
+        return replace(self, hits=self.hits.join(other.hits.select(self.id_col).distinct(), self.id_col, "left_anti"))
+
+    def merged(self, other: Results) -> Results:
+        """Hits of both lists, an id once; this list's row stands where both have one."""
+        return replace(self, hits=self.hits.unionByName(other.minus(self).hits.select(self.hits.columns)))
+
+    def rows(self, n: int = 0) -> DataFrame:
+        """The hits with ``rank``; at most n of them where n is given."""
+        keys = {"newest": (), "weight": ((self.weight, "desc"),), "score": (("score", "desc"),)}.get(self.order, self.order)
+        order = [F.col(k).asc_nulls_last() if way == "asc" else F.col(k).desc_nulls_last() for k, way in keys]
+        return ranked(self.hits, *order, F.desc(self.id_col), n=n or self.n)
 
 
 def fetch(hits: DataFrame, c: Collection) -> DataFrame:

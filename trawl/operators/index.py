@@ -1,10 +1,12 @@
 """Schema of a collection, its postings, and evaluation of query trees.
 
-Matching works on columns: a whole query tree becomes one boolean expression over the documents, so a search is a
-filter on the scan and nothing is shuffled.  Postings are built where a term dictionary is asked for."""
+A query tree becomes one boolean and one score Column over rows that know their keys; :class:`Collection` reads keys
+from the documents themselves, so a search is a filter on the scan and nothing is shuffled, and
+:mod:`trawl.operators.inverted` reads them from stored postings."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -12,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import analyzers
+from trawl.functions.scoring import adjacent, entries, proximity
 from trawl.operators import query as q
 
+#: Types of fields; bytes of the longest string with a range index; field numbers' first and step.
 KINDS = ("string", "int", "bigint", "double")
 LONGEST_RANGE_STRING = 116
+FIRST_NUMBER, NUMBER_STEP = 200, 256
 
 
 @dataclass(frozen=True)
@@ -26,6 +31,7 @@ class FieldSpec:
     name: str
     kind: str = "string"
     analyzer: str | None = None
+    dictionary: str | None = None
     ranged: bool = False
     indexed: bool = True
     stored: bool = True
@@ -56,7 +62,7 @@ class Catalog:
         old = self.get(spec.name)
         if old is None:
             return replace(self, slots=(*self.slots, spec))
-        if replace(old, analyzer=spec.analyzer) != spec:
+        if replace(old, analyzer=spec.analyzer, dictionary=spec.dictionary) != spec:
             raise ValueError(f"{spec.name} is already of another kind")
         return replace(self, slots=tuple(spec if f == old else f for f in self.slots))
 
@@ -69,8 +75,8 @@ class Catalog:
         return self.remove(name).add(spec)
 
     def rows(self) -> list[tuple[int, str, str | None, str]]:
-        """(number, name, analyzer, kind); numbers step by 256 from 200."""
-        return [(200 + 256 * (i + 1), "" if i in self.removed else f.name, None if i in self.removed else f.analyzer, f.kind) for i, f in enumerate(self.slots)]
+        """(number, name, analyzer, kind)."""
+        return [(FIRST_NUMBER + NUMBER_STEP * (i + 1), "" if i in self.removed else f.name, None if i in self.removed else f.analyzer, f.kind) for i, f in enumerate(self.slots)]
 
 
 def discovered(df: DataFrame, known: Catalog | None = None, analysed: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> Catalog:
@@ -82,19 +88,42 @@ def discovered(df: DataFrame, known: Catalog | None = None, analysed: tuple[str,
     return out
 
 
-class Collection:
-    """Documents with their catalog, id column and weight column."""
+class Matcher:
+    """Query trees as Columns.  Subclasses say how a row holds a field's keys."""
 
-    def __init__(self, df: DataFrame, catalog: Catalog, id_col: str = "doc_id", weight: str | None = None):
-        self.df, self.catalog, self.id_col, self.weight = df, catalog, id_col, weight
+    def __init__(self, catalog: Catalog):
+        self.catalog = catalog
+
+    def holds(self, spec: FieldSpec, terms: list[str], any_: bool = False) -> Column:
+        """Whether the field has all (or any) of the keys."""
+        raise NotImplementedError
 
-    def with_df(self, df: DataFrame) -> Collection:
-        return Collection(df, self.catalog, self.id_col, self.weight)
+    def entries(self, spec: FieldSpec, terms: list[str]) -> Column:
+        """(pos, term) of the keys, sorted, the first five of each."""
+        raise NotImplementedError
 
-    def tokens(self, name: str) -> Column:
-        return analyzers.get(self.catalog.get(name).analyzer)(F.col(name))
+    def value(self, spec: FieldSpec, leaf: q.Node) -> Column:
+        """Whether a leaf over a field's whole value holds."""
+        raise NotImplementedError
 
     # ------------------------------------------------------------------------------------------ matching
+    def keys(self, leaf: q.Node, spec: FieldSpec) -> list[str]:
+        """The keys that a text leaf asks a field for."""
+        if isinstance(leaf, q.Term) and (leaf.analyzer is None or spec.analyzer is None):
+            return [leaf.text]
+        return analyzers.terms(leaf.text, leaf.analyzer, leaf.dictionary or spec.dictionary)
+
+    def spec(self, leaf: q.Node) -> FieldSpec | None:
+        """The leaf's field, or none where no document can match."""
+        spec = self.catalog.get(leaf.field)
+        if spec is None or not spec.indexed:
+            return None
+        if isinstance(leaf, q.Number):
+            return spec if spec.kind != "string" else None
+        if isinstance(leaf, q.Range):
+            return spec if spec.kind != "string" or spec.ranged else None
+        return spec if spec.kind == "string" else None
+
     def matches(self, node: q.Node | None) -> Column:
         """A boolean that is never null; a null query matches nothing."""
         if node is None:
@@ -107,75 +136,141 @@ class Collection:
             return self.matches(node.left) & ~self.matches(node.right)
         return F.coalesce(self._leaf(node), F.lit(False))
 
-    def _leaf(self, node: q.Node) -> Column:
-        spec = self.catalog.get(node.field)
-        if spec is None or not spec.indexed:
-            return F.lit(False)
-        col = F.col(spec.name)
-        if isinstance(node, q.Number):
-            return col == F.lit(node.value) if spec.kind != "string" else F.lit(False)
-        if isinstance(node, q.Range):
-            return self._range(spec, col, node)
-        if spec.kind != "string":
+    def _leaf(self, leaf: q.Node) -> Column:
+        spec = self.spec(leaf)
+        if spec is None:
             return F.lit(False)
-        if isinstance(node, q.Term) and (node.analyzer is None or spec.analyzer is None):
-            return F.array_contains(self.tokens(spec.name), node.text) if spec.analyzer else col == node.text
-        terms = list(dict.fromkeys(analyzers.terms(node.text, node.analyzer)))
+        if not isinstance(leaf, q.Term | q.Phrase) or spec.analyzer is None:
+            return self.value(spec, leaf)
+        given = self.keys(leaf, spec)
+        terms = list(dict.fromkeys(given))
         if not terms:
             return F.lit(False)
-        tokens = self.tokens(spec.name) if spec.analyzer else F.array(col)
-        if isinstance(node, q.Term):
-            return F.arrays_overlap(tokens, F.array(*map(F.lit, terms))) if node.any else reduce(lambda a, b: a & b, [F.array_contains(tokens, t) for t in terms])
-        given = analyzers.terms(node.text, node.analyzer)
-        return phrase(tokens, given)
-
-    def _range(self, spec: FieldSpec, col: Column, node: q.Range) -> Column:
-        low, high = node.low, node.high
-        if spec.kind == "string":
-            if not spec.ranged:
-                return F.lit(False)
-            low, high = (x[:LONGEST_RANGE_STRING] if isinstance(x, str) else x for x in (low, high))
+        if isinstance(leaf, q.Term) or len(given) == 1:
+            return self.holds(spec, terms, isinstance(leaf, q.Term) and leaf.any)
+        if len(terms) < len(given):
+            return F.lit(False)
+        return self.holds(spec, terms) & analyzers.bound(self.entries(spec, terms), lambda e: adjacent(e, terms))
+
+    # ------------------------------------------------------------------------------------------ scores
+    def active(self, node: q.Node | None, under_or: bool = False, given: Column | None = None) -> Iterator[tuple[q.Node, Column | None]]:
+        """Leaves that can score and what must hold besides for a hit: below an OR only branches that match count,
+        and the right of a MINUS never does."""
+        if node is None:
+            return
+        if under_or:
+            own = self.matches(node)
+            given = own if given is None else given & own
+        if isinstance(node, q.Minus):
+            yield from self.active(node.left, under_or, given)
+        elif isinstance(node, q.And | q.Or):
+            for side in (node.left, node.right):
+                yield from self.active(side, under_or or isinstance(node, q.Or), given)
+        else:
+            yield node, given
+
+    def score(self, node: q.Node) -> Column:
+        """The raw proximity score of a hit: the sum over fields.  Text leaves give their keys' positions; a leaf over
+        a whole value stands at position 1, so such a field adds 1."""
+        by_field: dict[str, list[tuple[q.Node, Column | None]]] = {}
+        for leaf, given in self.active(node):
+            if self.spec(leaf) is not None:
+                by_field.setdefault(leaf.field, []).append((leaf, given))
+        total = F.lit(0.0)
+        for name, leaves in by_field.items():
+            spec = self.catalog.get(name)
+            if spec.analyzer is None:
+                held = [self.matches(x) if given is None else given for x, given in leaves]
+                total = total + F.when(reduce(lambda a, b: a | b, held), 1.0).otherwise(0.0)
+                continue
+            always = [t for x, given in leaves if given is None for t in self.keys(x, spec)]
+            at_times = [(given, self.keys(x, spec)) for x, given in leaves if given is not None]
+            found = self.entries(spec, [*always, *[t for _, ts in at_times for t in ts]])
+            if at_times:
+                none = F.array().cast("array<string>")
+                lists = [F.array(*map(F.lit, always)) if always else none, *[F.when(c, F.array(*map(F.lit, ts))).otherwise(none) for c, ts in at_times]]
+                found = analyzers.bound(F.struct(found.alias("e"), F.concat(*lists).alias("on")), lambda b: F.filter(b.e, lambda x: F.array_contains(b.on, x.term)))
+            total = total + analyzers.bound(found, proximity)
+        return total
+
+
+def value_matches(spec: FieldSpec, col: Column, leaf: q.Node) -> Column:
+    """A leaf over a plain column: a predicate that scans can push down."""
+    if isinstance(leaf, q.Number):
+        return col == F.lit(leaf.value)
+    if isinstance(leaf, q.Range):
         out = col.isNotNull()
-        if low is not None:
-            out = out & ((col > low) if node.low_open else (col >= low))
-        if high is not None:
-            out = out & ((col < high) if node.high_open else (col <= high))
+        if leaf.low is not None:
+            out = out & ((col > leaf.low) if leaf.low_open else (col >= leaf.low))
+        if leaf.high is not None:
+            out = out & ((col < leaf.high) if leaf.high_open else (col <= leaf.high))
         return out
+    if isinstance(leaf, q.Phrase):
+        given = analyzers.terms(leaf.text, leaf.analyzer, leaf.dictionary)
+        return col == given[0] if len(given) == 1 else F.lit(False)
+    return col == leaf.text
+
+
+class Collection(Matcher):
+    """Documents with their catalog, id column and weight column; keys are read from the documents."""
+
+    def __init__(self, df: DataFrame, catalog: Catalog, id_col: str = "doc_id", weight: str | None = None):
+        super().__init__(catalog)
+        self.df, self.id_col, self.weight = df, id_col, weight
+
+    def tokens(self, spec: FieldSpec) -> Column:
+        return analyzers.get(spec.analyzer, spec.dictionary)(F.col(spec.name))
+
+    def holds(self, spec: FieldSpec, terms: list[str], any_: bool = False) -> Column:
+        """Built-in analyzers need no tokens: the text is searched for the key between borders, and the search ends at
+        the first one."""
+        if analyzers.plain(spec.analyzer, spec.dictionary) and all(map(analyzers.searchable, terms)):
+            each = [analyzers.found(F.col(spec.name), t) for t in terms]
+            return reduce((lambda a, b: a | b) if any_ else (lambda a, b: a & b), each)
+        asked = F.array(*map(F.lit, terms))
+        tokens = self.tokens(spec)
+        return F.arrays_overlap(tokens, asked) if any_ else F.size(F.array_except(asked, tokens)) == 0
+
+    def entries(self, spec: FieldSpec, terms: list[str]) -> Column:
+        return entries(self.tokens(spec), terms)
+
+    def value(self, spec: FieldSpec, leaf: q.Node) -> Column:
+        return value_matches(spec, F.col(spec.name), leaf)
 
     def search(self, node: q.Node | None) -> DataFrame:
         """Matching documents, whole."""
         return self.df.where(self.matches(node))
 
     # ------------------------------------------------------------------------------------------ postings
-    def postings(self, name: str) -> DataFrame:
-        """(term, doc_id, weight, key_count, positions) of one field; the first five positions are kept."""
+    def postings(self, name: str, *more: str) -> DataFrame:
+        """(term, doc_id, weight, key_count, positions, more) of one field; the first five positions are kept.
+
+        A document's keys are sorted and cut into runs within its row, so nothing is shuffled."""
         spec = self.catalog.get(name)
-        tokens = self.tokens(name) if spec.analyzer else F.filter(F.array(F.col(name).cast("string")), lambda x: x.isNotNull())
+        value = self.tokens(spec) if spec.analyzer else F.array_compact(F.array(F.col(name).cast("string")))
         weight = F.col(self.weight) if self.weight else F.lit(0)
-        rows = self.df.select(F.col(self.id_col).alias("doc_id"), weight.cast("int").alias("weight"), F.posexplode(tokens).alias("pos", "term"))
-        grouped = rows.groupBy("term", "doc_id").agg(F.first("weight").alias("weight"), F.count("*").cast("int").alias("key_count"), F.slice(F.array_sort(F.collect_list(F.col("pos") + 1)), 1, 5).alias("positions"))
-        return grouped
+        rows = self.df.select(F.col(self.id_col).alias("doc_id"), weight.cast("int").alias("weight"), *more, F.explode(runs(value)).alias("x"))
+        return rows.select("x.term", "doc_id", "weight", "x.key_count", "x.positions", *more)
 
     def dictionary(self, name: str) -> DataFrame:
         """(term, n_docs, n_total): each key of a field with its counts."""
         spec = self.catalog.get(name)
-        tokens = self.tokens(name) if spec.analyzer else F.array(F.col(name).cast("string"))
-        rows = self.df.select(F.col(self.id_col).alias("doc_id"), F.explode(tokens).alias("term")).where(F.col("term").isNotNull())
-        return rows.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_total"))
-
-
-def phrase(tokens: Column, given: list[str]) -> Column:
-    """All of k distinct terms within k adjacent positions, in any order, among the first five of each."""
-    terms, k = list(dict.fromkeys(given)), len(given)
-    has = reduce(lambda a, b: a & b, [F.array_contains(tokens, t) for t in terms])
-    if k == 1:
-        return has
-    if len(terms) < k:
-        return F.lit(False)
-    at = [analyzers.positions(tokens, t) for t in terms]
-
-    def fits(p: Column) -> Column:
-        within = lambda y: (y >= p) & (y <= p + (k - 1))
-        return reduce(lambda a, b: a & b, [F.exists(x, within) for x in at])
-
-    return has & F.exists(F.flatten(F.array(*at)), fits)
+        tokens = self.tokens(spec) if spec.analyzer else F.array_compact(F.array(F.col(name).cast("string")))
+        once = lambda t, d: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(d).alias("d")))
+        # Each occurrence, and each key of a document once more.
+        rows = self.df.select(F.explode(analyzers.bound(tokens, lambda t: F.concat(once(t, 0), once(F.array_distinct(t), 1)))).alias("x"))
+        return rows.groupBy("x.term").agg(F.sum("x.d").alias("n_docs"), F.count(F.when(F.col("x.d") == 0, 1)).alias("n_total"))
+
+
+def runs(tokens: Column, most: int = 5) -> Column:
+    """array<struct<term, key_count, positions>> of a token array, by term."""
+
+    def cut(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1).term != x.term), i)))
+        return analyzers.bound(F.concat(starts, F.array(F.size(s))), lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda at, k: run(s, at, F.get(b, k + 1))))
+
+    def run(s: Column, at: Column, end: Column) -> Column:
+        first = F.transform(F.slice(s, at + 1, F.least(end - at, F.lit(most))), lambda x: x.pos)
+        return F.struct(F.get(s, at).term.alias("term"), (end - at).alias("key_count"), first.alias("positions"))
+
+    return analyzers.bound(F.array_sort(F.transform(tokens, lambda x, i: F.struct(x.alias("term"), (i + 1).alias("pos")))), cut)

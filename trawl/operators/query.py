@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 OR_PREFIX = "$$$"
 
@@ -21,7 +21,10 @@ class Node:
     def __sub__(self, other):
         return minus(self, other)
 
-    boost = 0  # accepted for compatibility; no score reads it
+
+    @property
+    def children(self) -> tuple[str, ...]:
+        return ("left", "right") if isinstance(self, And | Or | Minus) else ()
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,8 @@ class Term(Node):
     text: str
     analyzer: str | None = None
     any: bool = False
+    dictionary: str | None = None
+    boost: int = 0
 
 
 @dataclass(frozen=True)
@@ -41,12 +46,15 @@ class Phrase(Node):
     field: str
     text: str
     analyzer: str = "CWS"
+    dictionary: str | None = None
+    boost: int = 0
 
 
 @dataclass(frozen=True)
 class Number(Node):
     field: str
     value: int | float
+    boost: int = 0
 
 
 @dataclass(frozen=True)
@@ -58,24 +66,28 @@ class Range(Node):
     high: int | float | str | None = None
     low_open: bool = False
     high_open: bool = False
+    boost: int = 0
 
 
 @dataclass(frozen=True)
 class And(Node):
     left: Node
     right: Node
+    boost: int = 0
 
 
 @dataclass(frozen=True)
 class Or(Node):
     left: Node
     right: Node
+    boost: int = 0
 
 
 @dataclass(frozen=True)
 class Minus(Node):
     left: Node
     right: Node
+    boost: int = 0
 
 
 def term(field: str, text: str, analyzer: str | None = None) -> Node | None:
@@ -87,15 +99,44 @@ def term(field: str, text: str, analyzer: str | None = None) -> Node | None:
     return Term(field, text, analyzer)
 
 
-def phrase(field: str, text: str, analyzer: str = "CWS") -> Node | None:
+def phrase(field: str, text: str, analyzer: str | None = "CWS") -> Node | None:
+    if not analyzer:
+        return term(field, text)
     return Phrase(field, text, analyzer) if text else None
 
 
+#: The analyzers that type names stand for; CX has no such name.
+BY_TYPE = {"plain": None, "analysed": "CWS", "CWS": "CWS", "CN": "CN", "CY": "CY"}
+
+
+def by_type(make, field: str, text: str, kind: str) -> Node | None:
+    """``make`` (:func:`term`, :func:`phrase` or :func:`sentence`) with the analyzer of a type name."""
+    if kind not in BY_TYPE:
+        raise ValueError(f"no type {kind}")
+    return make(field, text, BY_TYPE[kind])
+
+
+def boosted(node: Node, value: int) -> Node:
+    """The node with a boost of 0 to 255, which is kept, written and copied; no score reads it."""
+    if not 0 <= value <= 255:
+        raise ValueError("a boost is one byte")
+    return replace(node, boost=value)
+
+
+def with_dictionary(node: Node | None, dictionary: str | None) -> Node | None:
+    """The tree with a dictionary's name at each leaf that has an analyzer."""
+    if node is None:
+        return None
+    if node.children:
+        return replace(node, left=with_dictionary(node.left, dictionary), right=with_dictionary(node.right, dictionary))
+    return replace(node, dictionary=dictionary) if getattr(node, "analyzer", None) else node
+
+
 def number(field: str, value: int | float) -> Node:
     return Number(field, value)
 
 
-def sentence(field: str, text: str, analyzer: str = "CWS") -> Node | None:
+def sentence(field: str, text: str, analyzer: str | None = "CWS") -> Node | None:
     """Quoted parts are phrases, the rest terms; all are required.  Empty parts are skipped."""
     if len(text) <= 1:
         return term(field, text, analyzer)
@@ -205,7 +246,7 @@ _KINDS = {c.__name__: c for c in (Term, Phrase, Number, Range, And, Or, Minus)}
 def to_json(node: Node) -> str:
     def plain(x):
         if isinstance(x, And | Or | Minus):
-            return {"kind": type(x).__name__, "left": plain(x.left), "right": plain(x.right)}
+            return {"kind": type(x).__name__, "left": plain(x.left), "right": plain(x.right), "boost": x.boost}
         return {"kind": type(x).__name__} | asdict(x)
 
     return json.dumps(plain(node))
@@ -214,6 +255,6 @@ def to_json(node: Node) -> str:
 def from_json(text: str) -> Node:
     def node(x):
         cls = _KINDS[x["kind"]]
-        return cls(**{f.name: node(x[f.name]) if isinstance(x[f.name], dict) else x[f.name] for f in fields(cls)})
+        return cls(**{f.name: node(x[f.name]) if isinstance(x[f.name], dict) else x[f.name] for f in fields(cls) if f.name in x})
 
     return node(json.loads(text))

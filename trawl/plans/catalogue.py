@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions import analyzers
 from trawl.operators import collect, mutate
 from trawl.operators import query as q
-from trawl.operators.cluster import gather, histogram, rejected, route, spans
+from trawl.operators.cluster import gather, histogram, rejected, remove, route, spans, split
 from trawl.operators.index import Catalog, Collection, FieldSpec, discovered
-from trawl.sources.store import export
-from trawl.streaming.buffer import merged, tagged
+from trawl.sources.store import Store, export, export_to
+from trawl.sources.tables import shared_folder
+from trawl.streaming.buffer import merged, roll, tagged, write_buffer
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,14 +73,14 @@ def has(*terms: str) -> str:
 
 LEAVES = {
     "term_exact_string": (documents, q.term("lang", "de"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'de'"),
-    "term_unknown_field": (documents, q.term("nothing", "de"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE false"),
+    "term_unknown_field": (documents, q.term("nothing", "de") | q.term("lang", "fr"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'fr'"),
     "term_int32": (part, q.number("p_size", 7), f"WITH {SQL_PART} SELECT doc_id FROM parts WHERE p_size = 7"),
     "term_int64": (orders, q.number("o_custkey", 42), f"WITH {SQL_ORDERS} SELECT doc_id FROM ords WHERE o_custkey = 42"),
     "term_double": (part, q.number("p_retailprice", 950.0), f"WITH {SQL_PART} SELECT doc_id FROM parts WHERE p_retailprice = 950.0"),
     "term_analyzed_and": (documents, q.term("text", "The and OF", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the', 'and', 'of')}"),
     "term_analyzed_or": (documents, q.term("text", "$$$und avec", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE list_has_any(toks, ['und', 'avec'])"),
     "multi_field": (documents, q.term("text", "the", "CWS") & q.term("lang", "en") & q.between("n_chars", "closed", 500, 5000), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the')} AND lang = 'en' AND n_chars BETWEEN 500 AND 5000"),
-    "bool_and": (documents, q.term("text", "the", "CWS") & q.term("text", "not", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the', 'not')}"),
+    "bool_and": (documents, q.term("text", "the", "CWS") & q.term("text", "with", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the', 'with')}"),
     "bool_or": (documents, q.term("lang", "fr") | q.term("text", "und", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'fr' OR {has('und')}"),
     "bool_minus": (documents, q.term("text", "the", "CWS") - q.term("text", "of", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the')} AND NOT {has('of')}"),
     "bool_nested": (documents, (q.term("text", "the", "CWS") | q.term("text", "die", "CWS")) - (q.term("source", "src1") | q.between("n_chars", "lt", high=1000)), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE ({has('the')} OR {has('die')}) AND NOT (source = 'src1' OR n_chars < 1000)"),
@@ -91,7 +95,7 @@ for _name, (_of, _node, _sql) in LEAVES.items():
 
 _RANGES = {
     "int32": (part, "p_size", 10, 20, SQL_PART, "parts"),
-    "int64": (documents, "n_chars", 1000, 4000, SQL_DOCS, "docs"),
+    "int64": (orders, "o_custkey", 41, 88, SQL_ORDERS, "ords"),
     "double": (part, "p_retailprice", 910.0, 950.0, SQL_PART, "parts"),
     "string": (orders, "day", "1996-03-01", "1998-07-15", SQL_ORDERS, "ords"),
 }
@@ -103,7 +107,7 @@ for _kind, (_of, _field, _a, _b, _with, _table) in _RANGES.items():
         add(f"range_{_kind}_{_form}", lambda s, d, of=_of, node=q.between(_field, _form, _a, _b): ids(of(s, d), node), f"WITH {_with} SELECT doc_id FROM {_table} WHERE {_where}")
 
 add("range_double_negative", lambda s, d: ids(customer(s, d), q.between("c_acctbal", "lt", high=0.0)), "SELECT c_custkey AS doc_id FROM customer WHERE c_acctbal < 0")
-add("range_string_plain_field", lambda s, d: ids(orders(s, d), q.between("o_orderpriority", "ge", "2")), "SELECT o_orderkey AS doc_id FROM orders WHERE false")
+add("range_string_plain_field", lambda s, d: ids(orders(s, d), q.between("o_orderpriority", "ge", "2") | q.number("o_custkey", 41)), "SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey = 41")
 
 # ---------------------------------------------------------------------------------------------- phrases
 
@@ -120,7 +124,7 @@ SELECT DISTINCT a.doc_id FROM p a WHERE (SELECT count(DISTINCT b.term) FROM p b
 add("phrase_two", lambda s, d: ids(documents(s, d), q.phrase("text", "of the")), phrase_sql("of", "the"))
 add("phrase_three", lambda s, d: ids(documents(s, d), q.phrase("text", "in the and")), phrase_sql("in", "the", "and"))
 add("phrase_unordered", lambda s, d: ids(documents(s, d), q.phrase("text", "the in")), phrase_sql("in", "the"))
-add("phrase_repeated_word", lambda s, d: ids(documents(s, d), q.phrase("text", "the the")), "SELECT doc_id FROM documents WHERE false")
+add("phrase_repeated_word", lambda s, d: ids(documents(s, d), q.phrase("text", "the the") | q.term("lang", "es")), "SELECT doc_id FROM documents WHERE lang = 'es'")
 add("phrase_in_sentence", lambda s, d: ids(documents(s, d), q.sentence("text", 'and "of the" with')), phrase_sql("of", "the", more=has("and", "with")))
 add("phrase_minus", lambda s, d: ids(documents(s, d), q.term("lang", "en") - q.phrase("text", "of the")), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang = 'en' EXCEPT ({phrase_sql('of', 'the')})")
 
@@ -134,26 +138,17 @@ def _ranks(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _rank_sql(with_: str, table: str, where: str, order: str, extra: str = "", limit: str = "") -> str:
-    return f"WITH {with_}, h AS (SELECT * FROM {table} WHERE {where} {limit}) SELECT doc_id{extra}, (row_number() OVER (ORDER BY {order}))::INTEGER AS rank FROM h"
-
-
-def narrow(c: Collection, node, *cols: str) -> Collection:
-    """Matches with the columns that ordering needs, so no text is sorted."""
-    df = c.search(node).select("doc_id", *cols)
-    return Collection(df, c.catalog, c.id_col, c.weight)
-
-
-EVERY = q.between("n_chars", "all")
+    return f"WITH {with_}, h AS (SELECT * FROM {table} WHERE {where} {limit}) SELECT doc_id{extra}, (row_number() OVER (ORDER BY {order})) AS rank FROM h"
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    c = narrow(documents(s, d), THE & q.between("n_chars", "closed", 500, 5000), "n_chars")
-    return _ranks(collect.order_by(c, EVERY, ("n_chars", "asc"), n=100, mode="global"), "n_chars")
+    node = THE & q.between("n_chars", "closed", 500, 5000)
+    return _ranks(collect.order_by(documents(s, d), node, ("n_chars", "asc"), n=100, mode="global", cols=()), "n_chars")
 
 
 add("flagship", flagship, _rank_sql(SQL_DOCS, "docs", f"{has('the')} AND n_chars BETWEEN 500 AND 5000", "n_chars, doc_id DESC", ", n_chars") + " QUALIFY rank <= 100")
-add("sort_default", lambda s, d: _ranks(collect.sort_default(narrow(documents(s, d), THE, "n_chars"), EVERY)), _rank_sql(SQL_DOCS, "docs", has("the"), "doc_id DESC"))
-add("sort_weight", lambda s, d: _ranks(collect.sort_weight(narrow(documents(s, d), THE, "n_chars", "weight"), EVERY), "weight"), _rank_sql(SQL_DOCS, "docs", has("the"), "weight DESC, doc_id DESC", ", weight"))
+add("sort_default", lambda s, d: _ranks(collect.sort_default(documents(s, d), THE, cols=())), _rank_sql(SQL_DOCS, "docs", has("the"), "doc_id DESC"))
+add("sort_weight", lambda s, d: _ranks(collect.sort_weight(documents(s, d), THE, cols=()), "weight"), _rank_sql(SQL_DOCS, "docs", has("the"), "weight DESC, doc_id DESC", ", weight"))
 _BIG = q.between("o_totalprice", "ge", 300000.0)
 add("orderby_multi", lambda s, d: _ranks(collect.order_by(part(s, d), q.between("p_size", "closed", 5, 15), ("p_size", "asc"), ("p_retailprice", "desc"))), _rank_sql(SQL_PART, "parts", "p_size BETWEEN 5 AND 15", "p_size, p_retailprice DESC, doc_id DESC"))
 add("topk_recent", lambda s, d: _ranks(collect.order_by(orders(s, d), _BIG, ("o_totalprice", "desc"), n=50)), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "o_totalprice DESC, doc_id DESC", limit="ORDER BY doc_id DESC LIMIT 50"))
@@ -164,23 +159,24 @@ _PAGED = _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "doc_id DESC")
 add("page_next", lambda s, d: _ranks(collect.page(collect.sort_default(orders(s, d), _BIG), _CURSOR.jump(2))), _PAGED + " QUALIFY rank BETWEEN 51 AND 75")
 add("page_back", lambda s, d: _ranks(collect.page(collect.sort_default(orders(s, d), _BIG), _CURSOR.jump(3).jump(-2))), _PAGED + " QUALIFY rank BETWEEN 26 AND 50")
 add("page_before_start", lambda s, d: _ranks(collect.page(collect.sort_default(orders(s, d), _BIG), _CURSOR.jump(-1))), _PAGED + " QUALIFY rank < 0")
-add("weight_filter", lambda s, d: _ranks(collect.filter_weight(narrow(documents(s, d), THE, "weight"), narrow(documents(s, d), THE, "weight").df, 20, 40), "weight"), _rank_sql(SQL_DOCS, "docs", f"{has('the')} AND weight BETWEEN 20 AND 40", "weight DESC, doc_id DESC", ", weight"))
+add("weight_filter", lambda s, d: _ranks(collect.filter_weight(c := documents(s, d), c.search(THE).select("doc_id", "weight"), 20, 40), "weight"), _rank_sql(SQL_DOCS, "docs", f"{has('the')} AND weight BETWEEN 20 AND 40", "weight DESC, doc_id DESC", ", weight"))
 add("weight_filter_date", lambda s, d: _ranks(collect.filter_weight(c := orders(s, d), c.search(_BIG), "1997-01-01", "1998-12-31"), "weight"), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000 AND weight BETWEEN 19970101 AND 19981231", "weight DESC, doc_id DESC", ", weight"))
 add("post_filter", lambda s, d: collect.post_filter(c := orders(s, d), c.search(_BIG), q.between("day", "closed", "1996-01-01", "1996-12-31") | q.between("o_custkey", "closed", 1, 50)).select("doc_id"), f"WITH {SQL_ORDERS} SELECT doc_id FROM ords WHERE o_totalprice >= 300000 AND (day BETWEEN '1996-01-01' AND '1996-12-31' OR o_custkey BETWEEN 1 AND 50)")
 add("post_filter_ordered", lambda s, d: _ranks(collect.post_filter(c := orders(s, d), c.search(_BIG), q.between("o_custkey", "closed", 1, 500), True)), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000 AND o_custkey BETWEEN 1 AND 500", "o_custkey DESC, doc_id DESC"))
 add("count_only", lambda s, d: collect.count(documents(s, d), THE), f"WITH {SQL_DOCS} SELECT count(*) AS n_hits FROM docs WHERE {has('the')}")
 add("key_positions", lambda s, d: s.createDataFrame([(t,) for t in collect.key_positions(q.sentence("text", 'and "of the" with') - q.term("text", "und", "CWS"), "text")], "term string"), "SELECT unnest(['and', 'of', 'the', 'with', 'und']) AS term")
-add("fetch_documents", lambda s, d: collect.fetch(collect.sort_default(orders(s, d), _BIG, n=30), orders(s, d)).select("doc_id", "rank", "o_totalprice", "day"), f"WITH {SQL_ORDERS} SELECT doc_id, (row_number() OVER (ORDER BY doc_id DESC))::INTEGER AS rank, o_totalprice, day FROM ords WHERE o_totalprice >= 300000 QUALIFY rank <= 30")
+add("fetch_documents", lambda s, d: collect.fetch(collect.sort_default(orders(s, d), _BIG, n=30), orders(s, d)).select("doc_id", "rank", "o_totalprice", "day"), f"WITH {SQL_ORDERS} SELECT doc_id, (row_number() OVER (ORDER BY doc_id DESC)) AS rank, o_totalprice, day FROM ords WHERE o_totalprice >= 300000 QUALIFY rank <= 30")
 
 # ---------------------------------------------------------------------------------------------- scores
 
 
-def score_sql(terms: list[str], where: str, plus: str = "0.0") -> str:
-    """The fold as a recursion over the entries of each document."""
+def score_sql(terms: list[str], where: str, plus: str = "0.0", branch: str = "false", branched: tuple[str, ...] = ()) -> str:
+    """The fold as a recursion over the entries of each document; the ``branched`` terms count where ``branch`` holds."""
     listed = ", ".join(f"'{t}'" for t in terms)
-    return f"""WITH RECURSIVE {SQL_DOCS}, hit AS (SELECT * FROM docs WHERE {where}),
-t AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1)::INTEGER AS pos FROM hit),
-p AS (SELECT * FROM t WHERE term IN ({listed}) QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) <= 5),
+    held = ", ".join(f"'{t}'" for t in branched) or "''"
+    return f"""WITH RECURSIVE {SQL_DOCS}, hit AS (SELECT *, ({branch}) AS flag FROM docs WHERE {where}),
+t AS (SELECT doc_id, flag, unnest(toks) AS term, generate_subscripts(toks, 1)::INTEGER AS pos FROM hit),
+p AS (SELECT * FROM t WHERE term IN ({listed}) AND (flag OR term NOT IN ({held})) QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) <= 5),
 e AS (SELECT doc_id, pos, term, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS j, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS n, greatest(200.0, max(pos) OVER (PARTITION BY doc_id)) AS longest, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS pp, lag(term) OVER (PARTITION BY doc_id ORDER BY pos) AS pt FROM p),
 f AS (
   SELECT doc_id, n, 0 AS j, 0 AS i, [term] AS keys, pos::DOUBLE AS total, 1.0::DOUBLE AS item, 0.0::DOUBLE AS score FROM e WHERE j = 0
@@ -208,6 +204,39 @@ add("score_normalized", lambda s, d: _scores(collect.normalised(collect.scored(d
 add("score_multi_field", lambda s, d: _scores(collect.scored(documents(s, d), q.term("text", "in the and", "CWS") & q.term("lang", "en"))), score_sql(["in", "the", "and"], has("in", "the", "and") + " AND lang = 'en'", "1.0") + "SELECT doc_id, round(score, 6) AS score FROM raw")
 add("score_recent", lambda s, d: _scores(collect.normalised(collect.scored(documents(s, d), _PAIR, n=60).select("doc_id", "score"))), score_sql(["of", "the"], f"{has('of', 'the')} AND doc_id IN (SELECT doc_id FROM docs WHERE {has('of', 'the')} ORDER BY doc_id DESC LIMIT 60)") + NORMAL)
 
+_BRANCH = (q.term("text", "of", "CWS") & q.term("text", "with", "CWS")) | q.term("text", "the", "CWS")
+_BRANCH_RAW = score_sql(["of", "with", "the"], f"({has('of', 'with')}) OR {has('the')}", branch=has("of", "with"), branched=("of", "with")) + "SELECT doc_id, round(score, 6) AS score FROM raw"
+add("score_or_branch", lambda s, d: _scores(collect.scored(documents(s, d), _BRANCH)), _BRANCH_RAW)
+add("sort_score", lambda s, d: collect.sort_score(documents(s, d), _PAIR).select("doc_id", F.round("score", 6).alias("score"), "rank"), score_sql(["of", "the"], has("of", "the")) + f"SELECT doc_id, score, row_number() OVER (ORDER BY exact DESC, doc_id DESC) AS rank FROM ({NORMAL.replace('SELECT doc_id, round(', 'SELECT doc_id, score AS exact, round(', 1)})")
+
+# ---------------------------------------------------------------------------------------------- search from postings
+
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def stored(s: SparkSession, d: str) -> Store:
+    """A store of the documents with postings, made once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _stores:
+        store = Store(s, f"{shared_folder(s)}/trawl-store-{uuid.uuid4().hex}", buckets=16)
+        store.add(documents(s, d).df, analysed=("text",))
+        store.build_postings("text")
+        _stores[key] = store
+    return _stores[key]
+
+
+_INDEXED = {
+    "indexed_term": (q.term("text", "The and OF", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id, weight FROM docs WHERE {has('the', 'and', 'of')}"),
+    "indexed_or": (q.term("text", "$$$und avec", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id, weight FROM docs WHERE list_has_any(toks, ['und', 'avec'])"),
+    "indexed_sentence": (q.sentence("text", 'and "of the" with'), f"SELECT doc_id, (n_chars % 100)::INTEGER AS weight FROM documents WHERE doc_id IN ({phrase_sql('of', 'the', more=has('and', 'with'))})"),
+    "indexed_phrase": (q.phrase("text", "of the"), f"SELECT doc_id, (n_chars % 100)::INTEGER AS weight FROM documents WHERE doc_id IN ({phrase_sql('of', 'the')})"),
+    "indexed_tree": ((q.term("text", "the", "CWS") | q.term("lang", "de")) - (q.term("text", "of", "CWS") | q.between("n_chars", "lt", high=1000)), f"WITH {SQL_DOCS} SELECT doc_id, weight FROM docs WHERE ({has('the')} OR lang = 'de') AND NOT ({has('of')} OR n_chars < 1000)"),
+}
+for _name, (_node, _sql) in _INDEXED.items():
+    add(_name, lambda s, d, node=_node: stored(s, d).search(node), _sql)
+add("indexed_score", lambda s, d: _scores(stored(s, d).search(_PAIR, score=True)), ORACLE_SQL["score_raw"])
+add("indexed_score_branch", lambda s, d: _scores(stored(s, d).search(_BRANCH, score=True)), _BRANCH_RAW)
+
 # ---------------------------------------------------------------------------------------------- index, catalog
 
 _TERMS = f"WITH {SQL_DOCS}, t AS (SELECT doc_id, weight, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM docs)"
@@ -268,6 +297,87 @@ add("read_your_writes", lambda s, d: merged(b := _base(s, d), _versions(b)).wher
 add("fresh_plus_base", lambda s, d: tagged(b := _base(s, d), _versions(b)).select("doc_id", "lang", "origin"), "SELECT doc_id, lang, 'base' AS origin FROM documents UNION ALL SELECT doc_id, 'v1', 'buffer' FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, 'v2', 'buffer' FROM documents WHERE source = 'src1' AND lang = 'en' UNION ALL SELECT doc_id, lang, 'buffer' FROM documents WHERE source = 'src2' UNION ALL SELECT doc_id + 10000000000, lang, 'buffer' FROM documents WHERE source = 'src4'")
 add("compaction", lambda s, d: merged(b := _base(s, d), _versions(b)), _MERGED)
 
+
+
+def _changes(b: DataFrame) -> DataFrame:
+    """One source's documents lose a language and gain a number twice, the second time repeated; another's are deleted
+    and come back; a third's are added to after their deletion, in vain."""
+    none, num, lang = F.lit(None).cast("long"), F.lit(7).cast("long"), F.lit(None).cast("string")
+    row = lambda who, ts, op, a, s, n: b.where(who).select("doc_id", a.alias("lang"), s.alias("source"), n.alias("n_chars"), F.lit(ts).cast("long").alias("ts"), F.lit(op).alias("op"))
+    frames = [
+        row("source = 'src1'", 1, "modify", F.lit("xx"), lang, none),
+        row("source = 'src1'", 2, "increment", F.lit("+"), lang, num),
+        row("source = 'src1'", 3, "increment", F.lit("-"), lang, num),
+        row("source = 'src1'", 3, "increment", F.lit("-"), lang, num),
+        row("source = 'src2'", 4, "delete", lang, lang, none),
+        row("source = 'src2'", 5, "add", F.lit("yy"), F.col("source"), F.col("n_chars")),
+        row("source = 'src3'", 6, "delete", lang, lang, none),
+        row("source = 'src3'", 7, "increment", F.lit("z"), lang, num),
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
+_CHANGED = "SELECT doc_id, CASE source WHEN 'src1' THEN 'xx+-' WHEN 'src2' THEN 'yy' ELSE lang END AS lang, source, n_chars + CASE WHEN source = 'src1' THEN 14 ELSE 0 END AS n_chars FROM documents WHERE source <> 'src3'"
+add("buffer_increment", lambda s, d: merged(b := _base(s, d), _changes(b)), _CHANGED)
+add("buffer_patch", lambda s, d: merged(b := _base(s, d), b.where("lang = 'fr'").select("doc_id", F.lit("FR").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"), F.lit(1).alias("ts"), F.lit("modify").alias("op"))), "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'FR' ELSE lang END AS lang, source, n_chars FROM documents")
+
+
+def _fresh_store(s: SparkSession, df: DataFrame, **options) -> Store:
+    store = Store(s, f"{shared_folder(s)}/trawl-store-{uuid.uuid4().hex}", weight=None, buckets=4)
+    store.add(df, **options)
+    return store
+
+
+def _total(s, d):
+    store = _fresh_store(s, b := _base(s, d))
+    store.log(_versions(b))
+    return store.total_added()
+
+
+def _streamed(s, d):
+    """Changes arrive as files, flow through the buffer and are rolled into a store's log; readers see all."""
+    b = _base(s, d)
+    store = _fresh_store(s, b)
+    tmp = f"{shared_folder(s)}/trawl-stream-{uuid.uuid4().hex}"
+    changes = _changes(b)
+    changes.write.parquet(f"{tmp}/in")
+    stream = s.readStream.schema(changes.schema).parquet(f"{tmp}/in")
+    write_buffer(stream, f"{tmp}/buffer", f"{tmp}/progress").awaitTermination()
+    roll(store, f"{tmp}/buffer", changes.schema)
+    return store.documents()
+
+
+def _recommitted(s, d):
+    """Postings with two commits on top: what was deleted or changed is found by its present words alone."""
+    b = documents(s, d).df.select("doc_id", "text", "lang")
+    store = _fresh_store(s, b, analysed=("text",))
+    store.build_postings()
+    row = lambda who, ts, op, t: b.where(who).select("doc_id", t.alias("text"), "lang", F.lit(ts).cast("long").alias("ts"), F.lit(op).alias("op"))
+    store.log(row("lang = 'de'", 1, "delete", F.col("text")).unionByName(row("lang = 'fr'", 2, "modify", F.lit("the new words"))))
+    store.commit_postings()
+    store.log(row("lang = 'es'", 3, "increment", F.lit(" the end")))
+    return store.search(q.term("text", "the", "CWS")).select("doc_id")
+
+
+add("doc_total_after_delete", _total, "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM documents WHERE source = 'src4') AS n_docs")
+add("buffer_stream", _streamed, _CHANGED)
+add("index_commits", _recommitted, f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang IN ('fr', 'es') OR (lang <> 'de' AND {has('the')})")
+
+# ---------------------------------------------------------------------------------------------- hit lists
+
+
+def _listed(s, d, node, *cols):
+    return collect.Results(orders(s, d).search(node).select("doc_id", "weight", *cols))
+
+
+_OLD = q.between("day", "le", high="1996-12-31")
+_O = f"WITH {SQL_ORDERS} SELECT doc_id"
+add("hits_total", lambda s, d: _listed(s, d, _BIG).truncated(40).total(), f"SELECT least(40, count(*)) AS n_total FROM orders WHERE o_totalprice >= 300000")
+add("hits_minus", lambda s, d: _listed(s, d, _BIG).minus(_listed(s, d, _OLD)).hits.select("doc_id"), f"{_O} FROM ords WHERE o_totalprice >= 300000 AND day > '1996-12-31'")
+add("hits_merged", lambda s, d: _ranks(_listed(s, d, _BIG).merged(_listed(s, d, _OLD)).sorted_by("weight").rows()), f"{_O}, row_number() OVER (ORDER BY weight DESC, doc_id DESC) AS rank FROM ords WHERE o_totalprice >= 300000 OR day <= '1996-12-31'")
+add("hits_resorted", lambda s, d: _ranks(_listed(s, d, _BIG, "o_totalprice").truncated(60).sorted_by((("o_totalprice", "asc"),)).rows()), f"{_O}, row_number() OVER (ORDER BY o_totalprice, doc_id DESC) AS rank FROM (SELECT * FROM ords WHERE o_totalprice >= 300000 ORDER BY doc_id DESC LIMIT 60)")
+add("field_keys", lambda s, d: s.createDataFrame(collect.field_keys((q.sentence("text", 'and "of the"') | q.term("lang", "de")) - q.term("text", "und", "CWS")), "field string, key string"), "SELECT * FROM (VALUES ('text', 'and'), ('text', 'of'), ('text', 'the'), ('lang', 'de'), ('text', 'und')) v(field, key)")
+
 # ---------------------------------------------------------------------------------------------- cluster
 
 SPANS = spans("[1,1000]", "[,2500]", "[,6000]", "[7000,]")
@@ -280,15 +390,36 @@ def _routed(s, d, node=THE):
 
 add("route_spans", lambda s, d: route(_base(s, d), "n_chars", SPANS).select("doc_id", "chunk"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, chunk::INTEGER AS chunk FROM routed WHERE chunk IS NOT NULL")
 add("route_rejected", lambda s, d: rejected(_base(s, d), "n_chars", SPANS).select("doc_id"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id FROM routed WHERE chunk IS NULL AND n_chars <> 0")
-_SCATTER = f"WITH {SQL_DOCS}, {_ROUTED}, own AS (SELECT doc_id, chunk::INTEGER AS chunk, (row_number() OVER (PARTITION BY chunk ORDER BY doc_id DESC))::INTEGER AS chunk_rank FROM routed WHERE chunk IS NOT NULL AND {has('the')})"
-_ALL = "SELECT doc_id, chunk, (row_number() OVER (ORDER BY chunk, chunk_rank))::INTEGER AS rank FROM own"
+_SCATTER = f"WITH {SQL_DOCS}, {_ROUTED}, own AS (SELECT doc_id, chunk::INTEGER AS chunk, (row_number() OVER (PARTITION BY chunk ORDER BY doc_id DESC)) AS chunk_rank FROM routed WHERE chunk IS NOT NULL AND {has('the')})"
+_ALL = "SELECT doc_id, chunk, (row_number() OVER (ORDER BY chunk, chunk_rank)) AS rank FROM own"
 _gathered = lambda s, d, n=0: gather(_routed(s, d), F.desc("doc_id"), n=n).select("doc_id", "chunk", "rank")
 add("scatter_search", _gathered, f"{_SCATTER} {_ALL}")
 add("scatter_limit", lambda s, d: _gathered(s, d, 20), f"{_SCATTER} {_ALL} WHERE chunk_rank <= 20")
 add("scatter_page", lambda s, d: collect.page(_gathered(s, d), collect.Cursor(30, 30)), f"{_SCATTER} {_ALL} QUALIFY rank BETWEEN 31 AND 60")
-add("scatter_global", lambda s, d: gather(_routed(s, d), F.desc("weight"), F.desc("doc_id"), global_order=True).select("doc_id", "rank"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, (row_number() OVER (ORDER BY weight DESC, doc_id DESC))::INTEGER AS rank FROM routed WHERE chunk IS NOT NULL AND {has('the')}")
+add("scatter_global", lambda s, d: gather(_routed(s, d), F.desc("weight"), F.desc("doc_id"), global_order=True).select("doc_id", "rank"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, (row_number() OVER (ORDER BY weight DESC, doc_id DESC)) AS rank FROM routed WHERE chunk IS NOT NULL AND {has('the')}")
 add("split_histogram", lambda s, d: histogram(_base(s, d), "n_chars", 14999), "SELECT r.value::BIGINT AS value, count(d.doc_id) AS n FROM range(0, 15000) r(value) LEFT JOIN documents d ON d.n_chars = r.value GROUP BY 1")
 
+
+
+def _splitted(s, d):
+    path = f"{shared_folder(s)}/trawl-split-{uuid.uuid4().hex}"
+    split(_base(s, d), "n_chars", SPANS, path)
+    return s.read.parquet(path).select("doc_id", F.col("chunk").cast("int").alias("chunk"))
+
+
+def _exported(s, d):
+    """An export that was broken off after its first half and run again."""
+    path = f"{shared_folder(s)}/trawl-export-{uuid.uuid4().hex}"
+    base = orders(s, d).df.select("doc_id", "o_custkey")
+    export_to(base, path, 1, 4000, 1000)
+    export_to(base, path, 1, 8000, 1000)
+    return s.read.parquet(path).select("doc_id", "o_custkey")
+
+
+add("split_chunks", _splitted, f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, chunk::INTEGER AS chunk FROM routed WHERE chunk IS NOT NULL")
+add("export_resumed", _exported, f"WITH {SQL_ORDERS} SELECT doc_id, o_custkey FROM ords WHERE doc_id BETWEEN 1 AND 8000")
+add("cluster_delete", lambda s, d: remove(r := route(_base(s, d), "n_chars", SPANS), r.where("lang = 'fr'").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("chunk")).alias("chunk"))).select("doc_id", "chunk"), f"WITH {SQL_DOCS}, {_ROUTED} SELECT doc_id, chunk::INTEGER AS chunk FROM routed WHERE chunk IS NOT NULL AND lang <> 'fr'")
+
 # ---------------------------------------------------------------------------------------------- analysis
 
 
@@ -298,6 +429,39 @@ def _custom(s, d):
     return c.df.where(F.array_contains(tokens, "of_the")).select("doc_id")
 
 
+
+
+def _pairs(text):
+    """An analyzer of a user: pairs of neighbouring words."""
+    return analyzers.bound(analyzers.words(text), lambda w: F.array_compact(F.transform(w, lambda x, i: F.when(i > 0, F.concat_ws("_", F.get(w, i - 1), x)))))
+
+
+def _own_analyzer(s, d):
+    analyzers.register("pairs", _pairs)
+    c = documents(s, d)
+    return ids(Collection(c.df, Catalog((FieldSpec("text", analyzer="pairs"),))), q.term("text", "of the", "pairs"))
+
+
+def _han(s, d):
+    c = documents(s, d)
+    df = c.df.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" 中文分词测试"))).when(F.col("lang") == "de", F.concat("text", F.lit("词分"))).otherwise(F.col("text")))
+    return ids(Collection(df, c.catalog), q.term("text", "分词", "CWS"))
+
+
+def _dictionary(s, d):
+    """A dictionary kept as documents, named on every leaf of a tree."""
+    kept = s.createDataFrame([("word", "CWS", "pairs", w) for w in ("of the", "in the")] + [("word", "CWS", "other", "on the")], "typeInfo string, analyName string, dictName string, dictKey string")
+    analyzers.load_dictionary(kept, "CWS", "pairs")
+    c = documents(s, d)
+    node = q.with_dictionary(q.term("text", "of the", "CWS") - (q.term("text", "in the", "CWS") & q.term("lang", "en")), "pairs")
+    return ids(Collection(c.df, Catalog((FieldSpec("text", analyzer="CWS", dictionary="pairs"), FieldSpec("lang")))), node)
+
+
+_PAIRED = "' ' || array_to_string(toks, ' ') || ' '"
+add("term_custom_analyzer", _own_analyzer, f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE contains({_PAIRED}, ' of the ')")
+add("term_han", _han, "SELECT doc_id FROM documents WHERE lang = 'fr'")
+add("dictname_nested", _dictionary, f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE contains({_PAIRED}, ' of the ') AND NOT (contains({_PAIRED}, ' in the ') AND lang = 'en')")
+add("sentence_by_type", lambda s, d: ids(documents(s, d), q.by_type(q.sentence, "text", "with and from", "CN")), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('with', 'and', 'from')}")
 add("custom_dictionary", _custom, f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')")
 add("analyze_tokens", lambda s, d: documents(s, d).df.select("doc_id", F.size(analyzers.words(F.col("text"))).cast("long").alias("n_tokens"), F.array_size(F.array_distinct(analyzers.words(F.col("text")))).cast("long").alias("n_terms")), f"WITH {SQL_DOCS} SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_terms FROM docs")
 add("range_lineitem", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").where(Collection(None, Catalog((FieldSpec("l_quantity", "double"), FieldSpec("l_linenumber", "int"))), "l_orderkey").matches(q.between("l_quantity", "en", 10.0, 20.0) & q.between("l_linenumber", "le", high=3))).select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_linenumber <= 3")
