@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from trawl.functions import analyzers
 from trawl.operators import collect, mutate
 from trawl.operators import query as q
-from trawl.operators.cluster import gather, histogram, rejected, remove, route, spans, split
+from trawl.operators.cluster import gather, histogram, moved, rejected, remove, route, spans, split
 from trawl.operators.index import Catalog, Collection, FieldSpec, discovered
-from trawl.sources.store import Store, export, export_to
+from trawl.sources.store import Store, export, export_to, open_path
 from trawl.sources.tables import shared_folder
 from trawl.streaming.buffer import merged, roll, tagged, write_buffer
 
@@ -85,6 +85,7 @@ LEAVES = {
     "bool_minus": (documents, q.term("text", "the", "CWS") - q.term("text", "of", "CWS"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('the')} AND NOT {has('of')}"),
     "bool_nested": (documents, (q.term("text", "the", "CWS") | q.term("text", "die", "CWS")) - (q.term("source", "src1") | q.between("n_chars", "lt", high=1000)), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE ({has('the')} OR {has('die')}) AND NOT (source = 'src1' OR n_chars < 1000)"),
     "bool_infix": (documents, q.infix("query|query&(query|query)", q.term("lang", "de"), q.term("lang", "en"), q.term("text", "the", "CWS"), q.term("text", "und", "CWS")), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE (lang = 'de' OR lang = 'en') AND ({has('the')} OR {has('und')})"),
+    "tree_json": (documents, q.from_json(q.to_json((q.term("text", "$$$und avec", "CWS") | q.between("n_chars", "en", 10, 900)) - q.term("lang", "es"))), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE (list_has_any(toks, ['und', 'avec']) OR (n_chars >= 10 AND n_chars < 900)) AND lang <> 'es'"),
     "bool_sentence": (documents, q.sentence("text", "with and from"), f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {has('with', 'and', 'from')}"),
 }
 
@@ -151,6 +152,7 @@ add("sort_default", lambda s, d: _ranks(collect.sort_default(documents(s, d), TH
 add("sort_weight", lambda s, d: _ranks(collect.sort_weight(documents(s, d), THE, cols=()), "weight"), _rank_sql(SQL_DOCS, "docs", has("the"), "weight DESC, doc_id DESC", ", weight"))
 _BIG = q.between("o_totalprice", "ge", 300000.0)
 add("orderby_multi", lambda s, d: _ranks(collect.order_by(part(s, d), q.between("p_size", "closed", 5, 15), ("p_size", "asc"), ("p_retailprice", "desc"))), _rank_sql(SQL_PART, "parts", "p_size BETWEEN 5 AND 15", "p_size, p_retailprice DESC, doc_id DESC"))
+add("orderby_missing_last", lambda s, d: _ranks(collect.order_by(Collection((c := documents(s, d)).df.withColumn("n_chars", F.when(F.col("lang") != "fr", F.col("n_chars"))), c.catalog), q.term("source", "src1") | q.term("lang", "fr"), ("n_chars", "asc"), cols=())), _rank_sql(SQL_DOCS, "docs", "source = 'src1' OR lang = 'fr'", "CASE WHEN lang <> 'fr' THEN n_chars END NULLS LAST, doc_id DESC"))
 add("topk_recent", lambda s, d: _ranks(collect.order_by(orders(s, d), _BIG, ("o_totalprice", "desc"), n=50)), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "o_totalprice DESC, doc_id DESC", limit="ORDER BY doc_id DESC LIMIT 50"))
 add("topk_global", lambda s, d: _ranks(collect.order_by(orders(s, d), _BIG, ("o_totalprice", "desc"), n=50, mode="global")), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "o_totalprice DESC, doc_id DESC") + " QUALIFY rank <= 50")
 add("weight_recent", lambda s, d: _ranks(collect.sort_weight(orders(s, d), _BIG, n=40), "weight"), _rank_sql(SQL_ORDERS, "ords", "o_totalprice >= 300000", "weight DESC, doc_id DESC", ", weight", "ORDER BY doc_id DESC LIMIT 40"))
@@ -237,6 +239,11 @@ for _name, (_node, _sql) in _INDEXED.items():
 add("indexed_score", lambda s, d: _scores(stored(s, d).search(_PAIR, score=True)), ORACLE_SQL["score_raw"])
 add("indexed_score_branch", lambda s, d: _scores(stored(s, d).search(_BRANCH, score=True)), _BRANCH_RAW)
 
+add("key_dump", lambda s, d: stored(s, d).keys("text").fillna(0, ["changed"]), f"WITH {SQL_DOCS}, t AS (SELECT doc_id, unnest(toks) AS term FROM docs) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*)::BIGINT AS n_total, 0::BIGINT AS changed FROM t GROUP BY term")
+add("store_get", lambda s, d: open_path(s, stored(s, d).path).get(7).select("doc_id", "lang", "source", "n_chars"), "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
+add("store_documents", lambda s, d: open_path(s, stored(s, d).path).documents().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("digest")), "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
+add("store_fields", lambda s, d: stored(s, d).fields(), "SELECT * FROM (VALUES (456, 'text', 'CWS', 'string'), (712, 'lang', NULL, 'string'), (968, 'source', NULL, 'string'), (1224, 'n_chars', NULL, 'bigint')) v(fid, name, analyzer, kind)")
+
 # ---------------------------------------------------------------------------------------------- index, catalog
 
 _TERMS = f"WITH {SQL_DOCS}, t AS (SELECT doc_id, weight, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM docs)"
@@ -250,6 +257,9 @@ add("doc_total", lambda s, d: documents(s, d).df.agg(F.count("*").alias("n_docs"
 
 # ---------------------------------------------------------------------------------------------- changes
 
+#: Chunks by length; what lies between 6001 and 6999 is no chunk's.
+SPANS = spans("[1,1000]", "[,2500]", "[,6000]", "[7000,]")
+
 _COLS = ("doc_id", "lang", "source", "n_chars")
 
 
@@ -347,8 +357,9 @@ def _streamed(s, d):
     return store.documents()
 
 
-def _recommitted(s, d):
-    """Postings with two commits on top: what was deleted or changed is found by its present words alone."""
+def _recommitted(s, d, compact=False):
+    """Postings with a commit on top, and changes that are not committed: what was deleted or changed is found by its
+    present words alone."""
     b = documents(s, d).df.select("doc_id", "text", "lang")
     store = _fresh_store(s, b, analysed=("text",))
     store.build_postings()
@@ -356,12 +367,34 @@ def _recommitted(s, d):
     store.log(row("lang = 'de'", 1, "delete", F.col("text")).unionByName(row("lang = 'fr'", 2, "modify", F.lit("the new words"))))
     store.commit_postings()
     store.log(row("lang = 'es'", 3, "increment", F.lit(" the end")))
+    if compact:
+        store.compact_postings()
     return store.search(q.term("text", "the", "CWS")).select("doc_id")
 
 
+
+
+def _clustered(s, d):
+    """A store that is dealt into chunks, opened again by its address and searched: hits say which chunk holds them."""
+    path = f"cluster://{shared_folder(s)}/trawl-cluster-{uuid.uuid4().hex}"
+    open_path(s, path).add(documents(s, d).df, analysed=("text",), span=("n_chars", SPANS))
+    c = open_path(s, path).collection()
+    return c.search(THE).select("doc_id", F.col("chunk").cast("int").alias("chunk"))
+
+
+def _moved(s, d):
+    b = _base(s, d)
+    return moved(b, b.withColumn("n_chars", F.col("n_chars") + 500), "n_chars", SPANS)
+
+
+_CHUNK = "CASE WHEN {0} BETWEEN 1 AND 1000 THEN 0 WHEN {0} BETWEEN 1001 AND 2500 THEN 1 WHEN {0} BETWEEN 2501 AND 6000 THEN 2 WHEN {0} >= 7000 THEN 3 END"
+add("cluster_store", _clustered, f"WITH {SQL_DOCS} SELECT doc_id, ({_CHUNK.format('n_chars')})::INTEGER AS chunk FROM docs WHERE {has('the')} AND {_CHUNK.format('n_chars')} IS NOT NULL")
+add("route_moved", _moved, f"SELECT * FROM (SELECT doc_id, ({_CHUNK.format('n_chars')})::INTEGER AS was, ({_CHUNK.format('(n_chars + 500)')})::INTEGER AS now FROM documents) WHERE was <> now")
 add("doc_total_after_delete", _total, "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM documents WHERE source = 'src4') AS n_docs")
 add("buffer_stream", _streamed, _CHANGED)
-add("index_commits", _recommitted, f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang IN ('fr', 'es') OR (lang <> 'de' AND {has('the')})")
+_COMMITTED = f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE lang IN ('fr', 'es') OR (lang <> 'de' AND {has('the')})"
+add("index_compacted", lambda s, d: _recommitted(s, d, compact=True), _COMMITTED)
+add("index_commits", _recommitted, _COMMITTED)
 
 # ---------------------------------------------------------------------------------------------- hit lists
 
@@ -380,7 +413,6 @@ add("field_keys", lambda s, d: s.createDataFrame(collect.field_keys((q.sentence(
 
 # ---------------------------------------------------------------------------------------------- cluster
 
-SPANS = spans("[1,1000]", "[,2500]", "[,6000]", "[7000,]")
 _ROUTED = "routed AS (SELECT *, CASE WHEN n_chars BETWEEN 1 AND 1000 THEN 0 WHEN n_chars BETWEEN 1001 AND 2500 THEN 1 WHEN n_chars BETWEEN 2501 AND 6000 THEN 2 WHEN n_chars >= 7000 THEN 3 END AS chunk FROM docs)"
 
 

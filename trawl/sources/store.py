@@ -182,6 +182,16 @@ class Store:
         rows = self.spark.read.option("basePath", f"{self.path}/postings").parquet(*[f"{self.path}/{f}" for f in self.state["postings"]]).drop("commit")
         return rows if field is None else rows.where(F.col("field") == field)
 
+    def keys(self, field: str) -> DataFrame:
+        """(term, n_docs, n_total, changed) of a field's committed entries that count: ``changed`` is the last time
+        stamp of a document with the key, null where none ever changed."""
+        index = self.index(fresh=False)
+        rows = index.postings.where(F.col("field") == field)
+        if index.versions is not None:
+            now = index.versions.select("doc_id", F.col("ts").alias("now"), "live")
+            rows = rows.join(now, "doc_id", "left").where(F.coalesce("live", F.lit(True)) & (F.col("ts") == F.coalesce("now", F.lit(FIRST))))
+        return rows.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("key_count").alias("n_total"), F.max(F.nullif("ts", F.lit(FIRST))).alias("changed"))
+
     def index(self, fresh: bool = True) -> Index:
         """The postings to search; with ``fresh``, changes that are not committed are cut on the fly."""
         entries = self.postings()
