@@ -142,12 +142,12 @@ def test_export_goes_on_where_it_ended(spark, tmp_path):
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
-    class Conf:
-        def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
-
     class Session:
-        conf = Conf()
-
-    with pytest.raises(RuntimeError, match="checkpoint"):
-        shared_folder(Session())
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(Session(spark_master=master))
+    assert shared_folder(Session(spark_master="local[4]")).startswith("file:")
+    assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"

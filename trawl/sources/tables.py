@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session without one uses a temporary folder, a cluster's must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not base and master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (base or "file://" + os.path.join(tempfile.gettempdir(), "trawl-shared")).rstrip("/")
 
