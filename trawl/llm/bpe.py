@@ -19,6 +19,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -33,23 +34,26 @@ from trawl.llm.common import chunks
 NONE = np.int64(1) << 60
 SHIFT = 20  # bits of a leaf that hold the position in the vectorised trees
 WIDE = 64  # symbols; longer words are encoded one at a time
-CACHE = 300_000  # distinct words that a worker remembers between batches
+CACHE = 100_000  # distinct words that a worker remembers between batches
 #: White space as the pattern engine of the vocabulary sees it.
 SPACES = "\t-\r\x20\x85\xa0  -     　"
 #: Contractions that the pattern names before the character classes.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
+@cache
 def _patterns() -> tuple[re.Pattern, regex.Pattern, frozenset[str]]:
     """The vocabulary's pattern twice: for ``re``, and, for texts with one of the characters that ``re`` puts into
     other classes (numbers that are not digits, some white space, the newest letters), for ``regex``."""
     after = "|".join(c[1:] for c in CONTRACTIONS)
     quick = re.compile(rf"[^\W\d_]+|\d|'(?:{after})|(?:[^\w\s]|_)+")
     whole = regex.compile(rf"\p{{L}}+|\p{{N}}|'(?:{after})|[^{SPACES}\p{{L}}\p{{N}}]+")
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    mine, theirs = (set(re.findall(p, every)) for p in (r"[^\W\d_]", r"\d"))
-    odd = set(regex.findall(r"\p{L}", every)) ^ mine | set(regex.findall(r"\p{N}", every)) ^ theirs
-    odd |= set(re.findall(r"\s", every)) ^ set(re.findall(f"[{SPACES}]", every))
+    odd: set[str] = set()
+    for begin in range(0, sys.maxunicode + 1, 1 << 14):
+        part = "".join(map(chr, (c for c in range(begin, begin + (1 << 14)) if not 0xD800 <= c < 0xE000)))
+        for mine, theirs in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}")):
+            odd |= set(re.findall(mine, part)) ^ set(regex.findall(theirs, part))
+        odd |= set(re.findall(r"\s", part)) ^ set(re.findall(f"[{SPACES}]", part))
     return quick, whole, frozenset(odd)
 
 
@@ -98,7 +102,6 @@ class Encoder:
         self.v = v
         self.quick, self.whole, self.odd = _patterns()
         self.special = re.compile("|".join(map(re.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
-        self.quick, self.whole, self.odd = _patterns()
         self.odd_ascii = re.compile("[\x1c-\x1f]").search
         self.pair = dict(zip(v.pair_key.tolist(), v.pair_rank.tolist(), strict=True))
         self.forget()

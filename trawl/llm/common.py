@@ -113,7 +113,7 @@ def encoded(values) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in values]
 
 
-def words_in_slices(texts: list[bytes], most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def words_in_slices(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """:func:`words_of` in slices that bound its working memory (some 50 bytes a byte of text)."""
     parts = [words_of(texts[a:b]) for a, b in chunks(map(len, texts), most)]
     if not parts:

@@ -76,7 +76,7 @@ def _sets(texts: list[bytes], k: int):
     begin, held = 0, 0
     for end in range(1, len(texts) + 1):
         held += len(texts[end - 1])
-        if held >= 2 << 20 or end == len(texts):
+        if held >= 1 << 20 or end == len(texts):
             d, h = shingle_sets(texts[begin:end], k)
             docs.append(d + begin)
             hashes.append(h)
@@ -213,7 +213,7 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3
         edges = found.unionAll(linked.where("node <> component").select("node", "component"))
         before, linked = linked, components(edges)
         drop_tables(on, pairs, found, before)
-        reclaim(spark)
+        reclaim(spark, wait=False)
     reps = known.join(linked, known.rep == linked.node, "left").select(*same, F.coalesce("component", "rep").alias("c"))
     out = members.join(reps, same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("c")).alias("c"))
     # An id takes the smallest component of its rows, which differ only if some of them hold no words.
