@@ -10,6 +10,7 @@ A key that every block holds costs one entry a block, however often it occurs.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import chunks, written
 
 BLOCK_BYTES = 6 << 20
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 SUM, COUNTED = -1, -2
 
 
@@ -48,9 +49,19 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
 
 
-def reclaim(spark) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that nobody holds any more."""
+def reclaim(spark, wait: bool = True) -> None:
+    """Let Spark's cleaner drop shuffle files of frames that nobody holds any more.
+
+    What Python lets go of is told to the JVM by a thread of its own; ``wait`` for that, up to a few seconds, so that
+    the frames of the step before are among what is cleaned."""
     gc.collect()
+    told = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    for _ in range(60):
+        if not wait or not told:
+            break
+        time.sleep(0.05)
+    if wait:
+        time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -126,16 +137,24 @@ def totals(packed: DataFrame, keys_of: Callable, kinds: dict[int, int], keys_hin
         return pd.DataFrame(rows, columns=["block", "kind", "bucket", "n", "answer"])
 
     asked = packed.select("block", "ids", "flags", "data").mapInArrow(ask, "block long, kind int, bucket int, keys binary, counts binary")
+    asked = spread(asked, buckets * len(kinds) // 4, "kind", "bucket")
     out = written(asked.groupBy("kind", "bucket").applyInPandas(answer, "block long, kind int, bucket int, n long, answer binary"), "totals")
     del asked
     reclaim(packed.sparkSession)
     return out
 
 
+def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys to so many tasks, where that is more than a shuffle of the session has."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > usual else df
+
+
 def with_totals(packed: DataFrame, answers: DataFrame) -> DataFrame:
     """``packed`` with ``answers``: its block's answers, an array of (kind, bucket, answer) in that order."""
     own = answers.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "bucket", "answer"))).alias("answers"))
-    return packed.join(own, "block", "left")
+    tasks = packed.count() // 8
+    return spread(packed, tasks, "block").join(spread(own, tasks, "block"), "block", "left")
 
 
 def answers_of(row: dict, kind: int) -> np.ndarray:
