@@ -140,3 +140,17 @@ def test_packed_keys():
     assert (counting.unpack_keys(counting.pack_keys(keys)) == keys).all()
     assert (counting.unpack_counts(counting.pack_counts(np.arange(999))) == np.arange(999)).all()
     assert len(counting.unpack_keys(counting.pack_keys(keys[:0]))) == 0
+
+
+def test_more_tasks_than_a_shuffle_has(spark, monkeypatch):
+    """Many blocks and buckets deal their rows to tasks of their own, with the same counts."""
+    data = rows(n=40)
+    df = spark.createDataFrame(data, SCHEMA)
+    plain = sorted(map(tuple, score(df, lm.flag_of()).collect()), key=str)
+    monkeypatch.setattr(counting, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(counting, "BUCKET_KEYS", 300)
+    asked = counting.spread(df.select("doc_id"), 50, "doc_id")
+    assert asked.rdd.getNumPartitions() == 50
+    many = sorted(map(tuple, score(df, lm.flag_of()).collect()), key=str)
+    assert [x[:5] for x in many] == [x[:5] for x in plain]
+    assert [y for x in many for y in x[5:]] == pytest.approx([y for x in plain for y in x[5:]])

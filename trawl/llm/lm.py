@@ -19,7 +19,8 @@ the uniform are zero.  An empty table gives no rows.  Other columns of the input
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 class Tokens:
     """The n-gram keys of a block's tokens, ends included."""
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: list[bytes], orders: Iterable[int]):
         words, counts = words_in_slices(texts)
         self.sizes = counts + 1
         ends = np.cumsum(self.sizes)
@@ -56,8 +57,11 @@ class Tokens:
         self.token[last], self.token[~last] = END, words
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.place = np.arange(len(self.token)) - np.repeat(ends - self.sizes, self.sizes)
-        self.keys = {1: self.token >> np.uint64(64 - UNIGRAM_BITS)}
-        for n in range(2, order + 1):
+        self.keys = {}
+        for n in orders:
+            if n == 1:
+                self.keys[1] = self.token >> np.uint64(64 - UNIGRAM_BITS)
+                continue
             h = np.full(len(self.token), n, np.uint64)
             for back in range(n - 1, -1, -1):
                 shifted = np.concatenate([np.full(back, START), self.token[: len(self.token) - back]]) if back else self.token
@@ -128,18 +132,19 @@ def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_
     n_docs, n_weigh = int(about[1] or 0), int(about[2] or 0)
     orders = range(1, order + 1)
 
-    def keys_of(texts: list[bytes], flags: np.ndarray) -> dict:
-        t = Tokens(texts, order)
-        train, weigh = np.repeat(flags != TEST, t.sizes), np.repeat(flags == WEIGH, t.sizes)
-        out = {}
-        for n, k in t.keys.items():
-            keys, where = np.unique(k, return_inverse=True)
-            out[n] = keys, np.bincount(where, train, len(keys)).astype(np.int64)
-            out[HELD_OUT + n] = np.unique(k[weigh], return_counts=True)
-        return out
-
-    bits = {n: UNIGRAM_BITS if n == 1 else NGRAM_BITS for n in orders}
-    answers = totals(packed, keys_of, bits | {HELD_OUT + n: b for n, b in bits.items()}, int((about[0] or 0) // 6))
+    def counted(n: int) -> DataFrame:
+        """Counts of one order; each order's shuffle is gone before the next one's begins."""
+
+        def keys_of(texts: list[bytes], flags: np.ndarray) -> dict:
+            t = Tokens(texts, [n])
+            train, weigh = np.repeat(flags != TEST, t.sizes), np.repeat(flags == WEIGH, t.sizes)
+            keys, where = np.unique(t.keys[n], return_inverse=True)
+            return {n: (keys, np.bincount(where, train, len(keys)).astype(np.int64)), HELD_OUT + n: np.unique(t.keys[n][weigh], return_counts=True)}
+
+        bits = UNIGRAM_BITS if n == 1 else NGRAM_BITS
+        return totals(packed, keys_of, {n: bits, HELD_OUT + n: bits}, int((about[0] or 0) // 6))
+
+    answers = reduce(DataFrame.unionByName, [counted(n) for n in orders])
     size = {(r.block, r.kind): int(r.n) for r in answers.where("block < 0").groupBy("block", "kind").agg(F.sum("n").alias("n")).collect()}
     n_tokens, n_words = size.get((SUM, 1), 0), size.get((COUNTED, 1), 0)
     n_held = size.get((SUM, HELD_OUT + 1), 0)
@@ -149,7 +154,7 @@ def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                t = Tokens(texts_of(row["data"], len(row["ids"])), order)
+                t = Tokens(texts_of(row["data"], len(row["ids"])), orders)
                 on = np.repeat(np.array(row["flags"]) == WEIGH, t.sizes)
                 counts = [counts_of(t.keys[n], row, n)[on] - counts_of(t.keys[n][on], row, HELD_OUT + n) for n in orders]
                 bucket, parts = estimates(t.place[on] == 0, counts, n_docs - n_weigh, n_tokens - n_held)
@@ -167,7 +172,7 @@ def score(docs: DataFrame, flag: Column, text: str = "text", id_col: str = "doc_
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                t = Tokens(texts_of(row["data"], len(row["ids"])), order)
+                t = Tokens(texts_of(row["data"], len(row["ids"])), orders)
                 counts = [counts_of(t.keys[n], row, n) for n in orders]
                 bucket, parts = estimates(t.place == 0, counts, n_docs, n_tokens)
                 c = counts[0]
