@@ -61,7 +61,7 @@ def test_query(spark, tmp_path):
 
 def test_shared_turns_are_emitted_once(spark):
     packed, _ = chat.chat_tree(spark.createDataFrame([r for r in data() if r[0] and 10 <= r[0] < 40], SCHEMA).coalesce(1))
-    texts = "".join(chat.formatted(np.array(r.tokens)) for r in packed.collect())
+    texts = "".join(chat.formatted(np.frombuffer(r.tokens, chat.ID)) for r in packed.collect())
     assert texts.count("q1") <= packed.count() and texts.count("a5") == 1
 
 
@@ -71,7 +71,8 @@ def test_positions_and_attention(spark):
     packed, _ = chat.chat_tree(spark.createDataFrame(rows, SCHEMA))
     seen = []
     for pack in packed.collect():
-        tokens, positions = np.array(pack.tokens), chat.positions_of(pack.asDict(recursive=True)["nodes"], len(pack.tokens))
+        tokens = np.frombuffer(pack.tokens, chat.ID)
+        positions = chat.positions_of(pack.asDict(recursive=True)["nodes"], len(tokens))
         for n in pack.nodes:
             at = chat.visible(n.asDict(recursive=True))
             assert positions[at].tolist() == list(range(len(at)))

@@ -2,10 +2,11 @@
 
 Conversations become paths of formatted turns.  Paths are sorted, so that those which share initial turns lie side by
 side in depth-first order, and each task walks its run of paths as a tree: a turn shared with the path before is
-not emitted again.  The output is packs of bounded size: token ids, and for each node (turn) its interval of tokens,
-the position id of its first token (the others follow on), the intervals of its ancestors (what its tokens may attend
-to besides earlier ones of its own) and whether it bears loss.  Where a pack or a run begins, the shared turns are emitted once more for that pack; a first
-turn that a third of all conversations share thus costs one copy for each pack, and no task needs all of its tree.
+not emitted again.  The output is packs of bounded size: token ids of 16 bits, and for each node (turn) its interval of
+tokens, the position id of its first token (the others follow on), the intervals of its ancestors (what its tokens may
+attend to besides earlier ones of its own) and whether it bears loss.  Where a pack or a run begins, the shared turns
+are emitted once more for that pack; a first turn that a third of all conversations share thus costs one copy for each
+pack, and no task needs all of its tree.
 
 Tokens are the bytes of the escaped text, and one id of its own for each mark of the template, which no text can
 produce; so a pack says exactly what was said.  Conversations with equal paths share one leaf; which conversation has
@@ -36,6 +37,7 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>
 #: Ids of the template's marks, beyond those of bytes.
 TURN, TEXT, END = 256, 257, 258
 MARKS = {TURN: "<|turn|>", TEXT: "<|text|>", END: "<|end|>\n"}
+ID = np.dtype("<u2")  # of a token in a pack's bytes
 PACK_TOKENS = 1 << 18
 _SPECIAL = re.compile("|".join([r"\\", *map(re.escape, sorted(CONTROLS, key=len, reverse=True))]))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -54,7 +56,7 @@ def encode_turn(role: str, text: str) -> tuple[np.ndarray, int, int]:
     """Token ids of a turn, and where its text begins and ends in them."""
     head = np.frombuffer(escape(role).encode(), np.uint8)
     body = np.frombuffer(escape(text).encode(), np.uint8)
-    ids = np.concatenate([[TURN], head, [TEXT], body, [END]]).astype(np.int16)
+    ids = np.concatenate([[TURN], head, [TEXT], body, [END]]).astype(ID)
     return ids, len(head) + 2, len(ids) - 1
 
 
@@ -99,7 +101,7 @@ class Pack:
     """One pack in the making: a tree walked depth-first."""
 
     def __init__(self):
-        self.parts: list[np.ndarray] = []
+        self.parts: list[bytes] = []
         self.size = 0
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
@@ -117,12 +119,12 @@ class Pack:
             loss = role == "assistant"
             self.nodes.append({"start": self.size, "stop": self.size + len(ids), "position": position, "attends": joined([*above["attends"], {"start": above["start"], "stop": above["stop"]}]) if above else [], "loss_start": self.size + a if loss else -1, "loss_stop": self.size + b if loss else -1})
             self.trail.append(((role, text), len(self.nodes) - 1, position + len(ids)))
-            self.parts.append(ids)
+            self.parts.append(ids.tobytes())
             self.size += len(ids)
         self.leaves.append({"leaf": leaf, "node": self.trail[-1][1] if self.trail else -1})
 
     def row(self) -> dict:
-        return {"tokens": np.concatenate(self.parts) if self.parts else np.empty(0, np.int16), "nodes": self.nodes, "leaves": self.leaves}
+        return {"tokens": b"".join(self.parts), "nodes": self.nodes, "leaves": self.leaves}
 
 
 def joined(intervals: list[dict]) -> list[dict]:
@@ -165,7 +167,7 @@ def packs(leaves: DataFrame, pack_tokens: int = PACK_TOKENS) -> DataFrame:
             yield pd.DataFrame([pack.row()])
 
     ordered = leaves.repartitionByRange("path").sortWithinPartitions("path")
-    return ordered.mapInPandas(run, f"tokens array<smallint>, nodes array<{NODE}>, leaves array<struct<leaf:string,node:int>>")
+    return ordered.mapInPandas(run, f"tokens binary, nodes array<{NODE}>, leaves array<struct<leaf:string,node:int>>")
 
 
 def chat_tree(conversations: DataFrame, pack_tokens: int = PACK_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -182,6 +184,7 @@ def read_back(packed: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             for tokens, nodes, leaves in zip(df["tokens"], df["nodes"], df["leaves"], strict=True):
+                tokens = np.frombuffer(tokens, ID)
                 loss, positions = np.zeros(len(tokens), bool), positions_of(nodes, len(tokens))
                 for n in nodes:
                     loss[max(0, n["loss_start"]) : max(0, n["loss_stop"])] = True
