@@ -58,9 +58,10 @@ def proximity(e: Column) -> Column:
         goes_on = joins & (j < n - 1) & (inside < LONGEST_RUN)
         gap = (cur.pos - prev.pos).cast("double")
         apart = F.when(cur.pos == NO_POSITION, 0.0).when(cur.term != prev.term, gap * 2).otherwise(gap)
-        apart = apart + 2 - F.floor((prev.pos + cur.pos) / 2) / longest
         run = (2 - s.total / j / longest) / item
-        closed = s.sum + F.when(inside > 1, run).otherwise(apart)
+        # Each part is added to the sum by itself, from left to right: another order gives other
+        # last bits, and so other ties.
+        closed = F.when(inside > 1, s.sum + run).otherwise(s.sum + apart + 2 - F.floor((prev.pos + cur.pos) / 2) / longest)
         return F.struct(
             F.when(goes_on, s.i).otherwise(j).alias("i"),
             F.when(goes_on, F.concat(s.keys, F.array(cur.term))).otherwise(F.array(cur.term)).alias("keys"),

@@ -16,9 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.scoring import normalised
 from trawl.operators import query as q
-from trawl.operators.collect import ranked
+from trawl.operators.collect import by_score
 from trawl.operators.index import Catalog, Collection, FieldSpec, Matcher
 
 #: The version of a document that never changed.
@@ -122,5 +121,5 @@ class Index:
         return self.search(node, score=True)
 
     def sort_score(self, node: q.Node, n: int = 0) -> DataFrame:
-        """Hits by normalised score."""
-        return ranked(normalised(self.scored(node)), F.desc("score"), F.desc("doc_id"), n=n)
+        """Hits by score, which is normalised."""
+        return by_score(self.scored(node), n=n)
