@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trawl.functions.scoring import proximity
 from trawl.operators import collect
 from trawl.operators import query as q
+from trawl.operators.cluster import route
 from trawl.operators.index import Catalog, Collection, FieldSpec
 from trawl.plans.catalogue import ORACLE_SQL, QUERIES
 
@@ -60,3 +61,27 @@ def test_proximity_adds_from_left_to_right(spark):
             gap = float(b.pos - a.pos)
             want = want + (gap * 2 if a.term != b.term else gap) + 2 - (a.pos + b.pos) // 2 / longest
         assert row.s == want
+
+
+@pytest.fixture(scope="module")
+def lengths(spark, tmp_path_factory):
+    """Lengths at the spans' ends, empty texts, no length; languages that are known or not."""
+    folder = tmp_path_factory.mktemp("lengths")
+    sizes = (0, 0, 1, 500, 501, 1000, 1001, 2000, 2500, 2501, 5501, 6000, 6001, 6500, 6999, 7000, None, -500, -1)
+    rows = [(n, lang) for n in sizes for lang in ("fr", "en", None, "fr")]
+    texts = [(i, "x" if n else None, lang, "src1", n) for i, (n, lang) in enumerate(rows)]
+    spark.createDataFrame(texts, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["route_spans"])
+def test_chunks_of_odd_lengths(spark, lengths, name):
+    got, want = against_sql(spark, lengths, name)
+    assert got == want and want
+
+
+def test_zero_goes_where_its_span_is(spark):
+    docs = spark.createDataFrame([(1, 0), (2, 5)], "doc_id long, w long")
+    table = [(0, 1, 9), (1, -3, 0)]
+    assert sorted((r.doc_id, r.chunk) for r in route(docs, "w", table, zero_everywhere=False).collect()) == [(1, 1), (2, 0)]
+    assert sorted((r.doc_id, r.chunk) for r in route(docs, "w", table).collect()) == [(1, 0), (1, 1), (2, 0)]

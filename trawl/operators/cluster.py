@@ -27,26 +27,27 @@ def spans(*texts: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def route(docs: DataFrame, field: str, table: list[tuple[int, int, int]]) -> DataFrame:
-    """``docs`` with ``chunk``: the first span that holds the field's value; the value 0 goes to every chunk.
+def route(docs: DataFrame, field: str, table: list[tuple[int, int, int]], zero_everywhere: bool = True) -> DataFrame:
+    """``docs`` with ``chunk``: the first span that holds the field's value; the value 0 goes to every chunk, or, without
+    ``zero_everywhere``, where a span holds it like any other.
 
     The span table is configuration, a few rows, and becomes one expression.  Values that no span holds are dropped
     here; :func:`rejected` gives them."""
     if dict(docs.dtypes)[field] in ("string", "binary"):
         raise ValueError(f"{field} is not numeric")
-    return _chunks(docs, field, table).where(F.size("__c") > 0).withColumn("chunk", F.explode("__c")).drop("__c")
+    return _chunks(docs, field, table, zero_everywhere).where(F.size("__c") > 0).withColumn("chunk", F.explode("__c")).drop("__c")
 
 
 def rejected(docs: DataFrame, field: str, table: list[tuple[int, int, int]]) -> DataFrame:
     return _chunks(docs, field, table).where(F.size("__c") == 0).drop("__c")
 
 
-def _chunks(docs: DataFrame, field: str, table) -> DataFrame:
+def _chunks(docs: DataFrame, field: str, table, zero_everywhere: bool = True) -> DataFrame:
     v, one = F.col(field), F.lit(None).cast("int")
     for chunk, start, stop in reversed(table):
         one = F.when(v.between(start, stop), F.lit(chunk)).otherwise(one)
-    every = F.array(*[F.lit(c) for c, _, _ in table])
-    return docs.withColumn("__c", F.when(v == 0, every).otherwise(F.array_compact(F.array(one))))
+    held, every = F.array_compact(F.array(one)), F.array(*[F.lit(c) for c, _, _ in table])
+    return docs.withColumn("__c", F.when(v == 0, every).otherwise(held) if zero_everywhere else held)
 
 
 def moved(before: DataFrame, after: DataFrame, field: str, table, id_col: str = "doc_id") -> DataFrame:
