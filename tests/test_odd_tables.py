@@ -74,7 +74,7 @@ def lengths(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["route_spans"])
+@pytest.mark.parametrize("name", ["route_spans", "split_chunks"])
 def test_chunks_of_odd_lengths(spark, lengths, name):
     got, want = against_sql(spark, lengths, name)
     assert got == want and want
@@ -85,3 +85,9 @@ def test_zero_goes_where_its_span_is(spark):
     table = [(0, 1, 9), (1, -3, 0)]
     assert sorted((r.doc_id, r.chunk) for r in route(docs, "w", table, zero_everywhere=False).collect()) == [(1, 1), (2, 0)]
     assert sorted((r.doc_id, r.chunk) for r in route(docs, "w", table).collect()) == [(1, 0), (1, 1), (2, 0)]
+
+
+def test_split_of_empty_texts_alone(spark, tmp_path):
+    spark.createDataFrame([(1, "", "en", "src1", 0)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = against_sql(spark, tmp_path, "split_chunks")
+    assert got == want == []

@@ -84,9 +84,9 @@ def histogram(docs: DataFrame, field: str, most: int) -> DataFrame:
     return every.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def split(docs: DataFrame, field: str, table, path: str) -> None:
+def split(docs: DataFrame, field: str, table, path: str, zero_everywhere: bool = True) -> None:
     """Write the documents by chunk, each chunk's in up to 16 files."""
-    route(docs, field, table).repartition("chunk", F.pmod(F.xxhash64(field), F.lit(16))).write.partitionBy("chunk").parquet(path)
+    route(docs, field, table, zero_everywhere).repartition("chunk", F.pmod(F.xxhash64(field), F.lit(16))).write.partitionBy("chunk").parquet(path)
 
 
 def remove(chunks: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
