@@ -50,10 +50,10 @@ def _chunks(docs: DataFrame, field: str, table, zero_everywhere: bool = True) ->
     return docs.withColumn("__c", F.when(v == 0, every).otherwise(held) if zero_everywhere else held)
 
 
-def moved(before: DataFrame, after: DataFrame, field: str, table, id_col: str = "doc_id") -> DataFrame:
+def moved(before: DataFrame, after: DataFrame, field: str, table, id_col: str = "doc_id", zero_everywhere: bool = True) -> DataFrame:
     """Ids whose chunk changes with a modification: they are deleted in one chunk and added in another."""
-    a = route(before, field, table).select(id_col, F.col("chunk").alias("was"))
-    b = route(after, field, table).select(id_col, F.col("chunk").alias("now"))
+    a = route(before, field, table, zero_everywhere).select(id_col, F.col("chunk").alias("was"))
+    b = route(after, field, table, zero_everywhere).select(id_col, F.col("chunk").alias("now"))
     return a.join(b, id_col).where("was <> now")
 
 
